@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.neardup import NearDup, near_duplicates, spelled_out
 from lexloom.llm.tokenizer import encode_table
+from lexloom.llm.vectors import Similar, most_similar
 from lexloom.plans import Registry
 from lexloom.tables import Scratch, table
 
@@ -14,6 +15,14 @@ R = Registry()
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+@R.query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "legacy_atoms").select("id", F.struct("fetched_at", F.col("embedding_model").alias("space"), F.col("embedding").alias("vec")).alias("r"))
+    latest = rows.groupBy("id").agg(F.max("r").alias("r")).select("id", "r.space", "r.vec")
+    near = most_similar(latest, Scratch(spark, "similar"), Similar(k=10, least=0.8))
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 @R.query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body_text", F.lit("")))
