@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.leakage import Leak, leaks
 from lexloom.llm.neardup import NearDup, near_duplicates, spelled_out
 from lexloom.llm.tokenizer import encode_table
 from lexloom.llm.vectors import Similar, most_similar
@@ -35,3 +36,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_table(table(spark, d, "documents"), VOCABULARY)
+
+
+@R.query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "curated_queries").select(F.col("query_id").alias("item_id"), F.col("passage").alias("text"))
+    found = leaks(table(spark, d, "documents"), items, Leak(window=16, edits=1))
+    return found.where("edits = 0").select("doc_id", F.col("item_id").alias("query_id"))
