@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.leakage import Leak, leaks
 from lexloom.llm.neardup import NearDup, near_duplicates, spelled_out
+from lexloom.llm.quality import STATS, text_statistics
 from lexloom.llm.tokenizer import encode_table
 from lexloom.llm.vectors import Similar, most_similar
 from lexloom.plans import Registry
@@ -43,3 +44,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "curated_queries").select(F.col("query_id").alias("item_id"), F.col("passage").alias("text"))
     found = leaks(table(spark, d, "documents"), items, Leak(window=16, edits=1))
     return found.where("edits = 0").select("doc_id", F.col("item_id").alias("query_id"))
+
+
+@R.query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents")).where("kind != 'prose'").select("doc_id", "kind")
+
+
+@R.query("p9_stats")
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    rounded = lambda c, t: F.round(c, 6).alias(c) if t == "double" else F.col(c)
+    return text_statistics(table(spark, d, "documents")).select("doc_id", *(rounded(c, t) for c, t in STATS.items()), "kind")
