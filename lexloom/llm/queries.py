@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.leakage import Leak, leaks
 from lexloom.llm.neardup import NearDup, near_duplicates, spelled_out
 from lexloom.llm.quality import STATS, text_statistics
+from lexloom.llm.scan import read_pages, repaired_text
 from lexloom.llm.tokenizer import encode_table
 from lexloom.llm.vectors import Similar, most_similar
 from lexloom.plans import Registry
@@ -55,3 +56,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     rounded = lambda c, t: F.round(c, 6).alias(c) if t == "double" else F.col(c)
     return text_statistics(table(spark, d, "documents")).select("doc_id", *(rounded(c, t) for c, t in STATS.items()), "kind")
+
+
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "code_sections")
+    parts = F.struct(
+        F.col("fetched_at").try_cast("timestamp").alias("t"), F.col("body_text").alias("body"), F.col("jurisdiction_tenant").alias("owner"),
+        F.element_at(F.split("code_edition_id", "/"), -1).alias("edition"),
+    )
+    scans = rows.where("source_adapter = 'raw-pdf'").groupBy(F.col("entity_id").alias("id")).agg(F.max(parts).alias("r"))
+    return scans.select("id", "r.body", "r.owner", "r.edition"), rows.where("source_adapter != 'raw-pdf'").select(F.col("body_text").alias("body"))
+
+
+@R.query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    repairs, _ = read_pages(*_scanned(spark, d), Scratch(spark, "scan"))
+    return repairs.select(F.col("id").alias("entity_id"), F.col("kind").alias("repair_kind"), "item").distinct()
+
+
+@R.query("p5_text")
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    repairs, pages = read_pages(*_scanned(spark, d), Scratch(spark, "scan"))
+    return repaired_text(pages, repairs).select(F.col("id").alias("entity_id"), F.col("text").alias("body_text"))
