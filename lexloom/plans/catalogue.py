@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.plans import Registry, records
+from lexloom.plans import Registry, corpus, records
 
 
 def registries() -> list[Registry]:
-    return [records.R]
+    return [records.R, corpus.R]
