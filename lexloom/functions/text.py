@@ -23,6 +23,11 @@ def instant(c: Column) -> Column:
     return c.try_cast("timestamp")
 
 
+def month_utc(c: Column) -> Column:
+    """Month ``yyyy-MM`` of an instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM")
+
+
 def section_key(c: Column) -> Column:
     """A section label without leading word or sign, bracketed parts, blanks, trailing
     punctuation, letter case and kind of dash; null when nothing is left."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.plans import Registry, corpus, records
+from lexloom.plans import Registry, corpus, documents, records
 
 
 def registries() -> list[Registry]:
-    return [records.R, corpus.R]
+    return [records.R, corpus.R, documents.R]

@@ -55,7 +55,7 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     )
     scratch = Scratch(spark, "orphans")
     broken = scratch.save(broken_references(children, sections.unionByName(editions)), "broken")
-    month = F.date_format("at", "yyyy-MM").alias("period_month")
+    month = T.month_utc(F.col("at")).alias("period_month")
     from_refs = broken.where("parent_table = 'code_sections'")
     skipped = from_refs.groupBy(F.col("report_id").alias("r")).agg(F.count_distinct("child").alias("n"))
     miscounted = reports.where("skipped is not null").join(skipped, F.col("child") == F.col("r"), "left").where("skipped != coalesce(n, 0)")
