@@ -146,13 +146,13 @@ def scan_page_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "line_rebuild",
-    """WITH i AS (SELECT l_orderkey AS page, l_linenumber AS item_no, l_returnflag AS s, l_quantity AS y FROM lineitem), w AS (SELECT *, lag(y) OVER (PARTITION BY page ORDER BY item_no) AS py FROM i),
+    """WITH i AS (SELECT user_id AS page, event_id AS item_no, event_type AS s, value AS y FROM events), w AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY page ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS py FROM i),
     g AS (SELECT *, sum(CASE WHEN abs(y - py) > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY item_no) AS line FROM w),
     l AS (SELECT page, line, string_agg(s, ' ' ORDER BY item_no) AS t FROM g GROUP BY 1, 2) SELECT cast(page AS VARCHAR) AS page, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY 1""",
 )
 def line_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Lines from positioned items; line items stand in for a page's text runs."""
-    i = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("page"), F.lit(1).alias("page_no"), F.col("l_linenumber").alias("item_no"), F.col("l_returnflag").alias("str"), F.col("l_quantity").cast("double").alias("y"))
+    """Lines from positioned items; events stand in for a page's text runs."""
+    i = table(spark, d, "events").select(F.col("user_id").cast("string").alias("page"), F.lit(1).alias("page_no"), F.col("event_id").alias("item_no"), F.col("event_type").alias("str"), F.col("value").cast("double").alias("y"))
     return pages.rebuild_lines(i).select("page", "text")
 
 
