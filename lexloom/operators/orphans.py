@@ -39,21 +39,22 @@ def broken_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``children`` that do not hold, with ``reason``: ``missing``, ``late`` or ``deleted``.
 
     ``late``: the parent's first appearance is after the reference; ``deleted``: its end is not
-    after the reference; a reference that is both gives two rows. References without a time are
+    after the reference; a reference that is both gives two rows. Other columns of the children are
+    kept, but for one named ``reason``. References without a time are
     only tested for existence. Only the failing groups, a small part of the keys, are joined back
     to the children; adaptive execution splits a hot key on the children's side.
     """
-    bad = reference_groups(children, parents).select(
-        F.col("parent_table").alias("g_table"), F.col("scope").alias("g_scope"), F.col("ref").alias("g_ref"), "has_parent", "since", "until"
-    )
+    own = children.columns
+    groups = reference_groups(children, parents)
+    bad = groups.select(*(F.col(c).alias(f"__{c}") for c in ("parent_table", "scope", "ref", "has_parent", "since", "until")))
     hit = children.join(
-        bad, (F.col("parent_table") == F.col("g_table")) & F.col("scope").eqNullSafe(F.col("g_scope")) & (F.col("ref") == F.col("g_ref"))
+        bad, (F.col("parent_table") == F.col("__parent_table")) & F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("ref") == F.col("__ref"))
     )
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("has_parent") == 0, "missing"),
-            F.when(F.col("since") > F.col("at"), "late"),
-            F.when(F.col("until") <= F.col("at"), "deleted"),
+            F.when(F.col("__has_parent") == 0, "missing"),
+            F.when(F.col("__since") > F.col("at"), "late"),
+            F.when(F.col("__until") <= F.col("at"), "deleted"),
         )
     )
-    return hit.select(*children.columns, F.explode(reasons).alias("reason"))
+    return hit.select(*(c for c in own if c != "reason"), F.explode(reasons).alias("reason"))

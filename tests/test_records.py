@@ -36,6 +36,12 @@ def test_broken_references(spark):
     assert {r.reason for r in broken_references(children, parents.limit(0)).collect()} == {"missing"}
 
 
+def test_columns_of_the_same_name(spark):
+    children = spark.createDataFrame([("t", "s", "x", day(1), "a", day(9), "why")], "parent_table string, scope string, ref string, at timestamp, child string, since timestamp, reason string")
+    got = broken_references(children, spark.createDataFrame([], PARENT)).first()
+    assert (got.child, got.since, got.reason) == ("a", day(9), "missing")
+
+
 def test_one_hot_key(spark):
     children = spark.range(3000).select(F.lit("t").alias("parent_table"), F.lit("s").alias("scope"), F.lit("hot").alias("ref"), F.lit(day(1)).alias("at"), F.col("id").cast("string").alias("child"))
     assert broken_references(children, spark.createDataFrame([], PARENT)).count() == 3000
