@@ -285,7 +285,7 @@ top AS (SELECT query_id, did, score, row_number() OVER (PARTITION BY query_id OR
 
 @R.query("curated_top3", _RANKED + " SELECT query_id, did, round(score, 6) AS score, place FROM top")
 def curated_top3(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).withColumn("score", F.round("score", 6))
+    return _ranked(spark, d).withColumn("score", F.round("score", 6)).withColumn("place", F.col("place").cast("bigint"))
 
 
 _HITS = """, hits3 AS (SELECT c.query_id, c.jurisdiction_tenant, coalesce(list_contains(t.top, replace(c.expected_atom_did, 'did:civic:', 'did:lex:')), false) AS hit, coalesce(array_to_string(t.top, ' '), '') AS top

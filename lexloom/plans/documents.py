@@ -327,7 +327,7 @@ def section_samples(spark: SparkSession, d: str) -> DataFrame:
     """First 25 section numbers of each book, in one pass."""
     w = Window.partitionBy("jurisdiction_key", "code_book").orderBy("section_number", "id", "fetched_at")
     x = table(spark, d, "legacy_atoms").where("section_number is not null").select("jurisdiction_key", "code_book", "section_number", F.row_number().over(w).alias("place"))
-    return x.where("place <= 25")
+    return x.where("place <= 25").withColumn("place", F.col("place").cast("bigint"))
 
 
 @R.query("legacy_sources_by_name", "SELECT id, source_name, label, source_type, license_type FROM legacy_sources ORDER BY source_name")
