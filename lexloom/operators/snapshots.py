@@ -14,8 +14,9 @@ def snapshot_changes(
     A snapshot of an owner exists when it holds any row of that owner, and is compared with the
     owner's previous existing one; the first gives nothing. Of several rows of a key in one
     snapshot the one with the largest ``order`` counts (a null order is the smallest; among equal
-    orders the largest version). Both sides are reduced by EXCEPT ALL in either direction, so
-    identical rows are gone before the full join by key. ``changed`` needs a non-null version on
+    orders the largest version). The rows of both sides are taken from each other by EXCEPT ALL in both
+    directions: one grouping counts each row's surplus on either side, so identical rows are gone
+    before the full join by key and the table is read and shuffled once. ``changed`` needs a non-null version on
     both sides. Rows with a null snapshot or key are left out; a null owner is an owner of its own.
     Other columns of the input are never looked at. An empty input gives an empty result.
 
@@ -27,20 +28,25 @@ def snapshot_changes(
         .groupBy("o", "n", "k")
         .agg(F.max(F.struct("t", "v"))["v"].alias("v"))
     )
+    order_of = Window.partitionBy("so").orderBy("sn")
     steps = (
-        rows.select(owner.alias("o"), snapshot.cast("int").alias("n"), key.alias("k"))
-        .where("n is not null and k is not null")
-        .groupBy("o", "n")
-        .agg(F.lit(1).alias("one"))
-        .withColumn("before", F.lag("n").over(Window.partitionBy("o").orderBy("n")))
-        .where("before is not null")
-        .select(F.col("o").alias("so"), F.col("n").alias("step"), "before")
+        rows.select(owner.alias("so"), snapshot.cast("int").alias("sn"), key.alias("sk"))
+        .where("sn is not null and sk is not null")
+        .groupBy("so", "sn").agg(F.count("*").alias("rows"))
+        .select("so", "sn", F.lag("sn").over(order_of).alias("before"), F.lead("sn").over(order_of).alias("after"))
+    )
+    # Every row stands on the new side of its own step and on the old side of the next one.
+    sides = F.filter(
+        F.array(
+            F.struct(F.when(F.col("before").isNotNull(), F.col("n")).alias("step"), F.lit(1).alias("side")),
+            F.struct(F.col("after").alias("step"), F.lit(-1).alias("side")),
+        ),
+        lambda s: s["step"].isNotNull(),
     )
-    now = latest.join(steps, F.col("o").eqNullSafe(F.col("so")) & (F.col("n") == F.col("step")))
-    was = latest.join(steps, F.col("o").eqNullSafe(F.col("so")) & (F.col("n") == F.col("before")))
-    now, was = (x.select("o", "step", "k", "v") for x in (now, was))
-    a = now.exceptAll(was).select(F.col("o").alias("ao"), F.col("step").alias("an"), F.col("k").alias("ak"), F.col("v").alias("av"), F.lit(1).alias("a"))
-    b = was.exceptAll(now).select(F.col("o").alias("bo"), F.col("step").alias("bn"), F.col("k").alias("bk"), F.col("v").alias("bv"), F.lit(1).alias("b"))
+    placed = latest.join(steps, F.col("o").eqNullSafe(F.col("so")) & (F.col("n") == F.col("sn"))).select("o", "k", "v", F.inline(sides))
+    residue = placed.groupBy("o", "step", "k", "v").agg(F.sum("side").alias("surplus")).where("surplus != 0")
+    a = residue.where("surplus > 0").select(F.col("o").alias("ao"), F.col("step").alias("an"), F.col("k").alias("ak"), F.col("v").alias("av"), F.lit(1).alias("a"))
+    b = residue.where("surplus < 0").select(F.col("o").alias("bo"), F.col("step").alias("bn"), F.col("k").alias("bk"), F.col("v").alias("bv"), F.lit(1).alias("b"))
     both = a.join(b, (F.col("an") == F.col("bn")) & (F.col("ak") == F.col("bk")) & F.col("ao").eqNullSafe(F.col("bo")), "full")
     kind = (
         F.when(F.col("b").isNull(), "added")
