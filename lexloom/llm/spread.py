@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in at least three tasks a core. Inputs of enough splits stay as they are; small ones
-    are shuffled by ``key``, so that a file of one row group does not end up in one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 12 * cores else df.repartition(3 * cores, key)
+    """A scan in at least three tasks a core. Inputs of enough splits stay as they are; small ones
+    are shuffled by ``key``, so that a file of one row group does not end up in one task. ``df`` must
+    be a scan with narrow steps only: counting its splits then runs nothing."""
+    return df if df.rdd.getNumPartitions() >= 12 * df.sparkSession.sparkContext.defaultParallelism else scattered(df, key)
+
+
+def scattered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` shuffled by ``key`` into at least three tasks a core, which are not merged again."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

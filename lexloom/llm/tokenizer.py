@@ -131,7 +131,7 @@ class PrefixEncoder:
         return out
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_ENCODERS: dict[bytes, PrefixEncoder] = {}
 
 
 def encode_table(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -144,7 +144,7 @@ def encode_table(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = spec.value
-        enc = _ENCODERS.get(len(raw)) or _ENCODERS.setdefault(len(raw), PrefixEncoder(raw))
+        enc = _ENCODERS.get(raw) or _ENCODERS.setdefault(raw, PrefixEncoder(raw))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
