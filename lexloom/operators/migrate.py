@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +60,26 @@ def corpus_rollup(editions: DataFrame) -> DataFrame:
         F.min_by("source_adapter", F.struct((-F.unix_micros("latest")).alias("u"), "first")).alias("source_adapter"),
         F.transform(F.array_sort(F.collect_list(F.struct("first", "code_edition_id"))), lambda e: e["code_edition_id"]).alias("adopted_edition_ids"),
     )
+
+
+def run_units(units: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of the frames of ingest units, with ``unit_id``, and why others are missing. A unit that
+    raises or gives no rows is left out and stops none of the others."""
+    kept, skipped = [], {}
+    for name, make in units.items():
+        try:
+            df = make()
+            if df.isEmpty():
+                skipped[name] = "no rows"
+            else:
+                kept.append(df.withColumn("unit_id", F.lit(name)))
+        except Exception as e:
+            skipped[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept) if kept else None), skipped
+
+
+def page_range(c: Column) -> Column:
+    """Struct (first, last) of ``a`` or ``a-b``; 1 to 3 where it is neither."""
+    a, b = F.regexp_extract(c, r"^\s*(\d+)\s*(?:-\s*\d+\s*)?$", 1), F.regexp_extract(c, r"^\s*\d+\s*-\s*(\d+)\s*$", 1)
+    first = F.coalesce(a.try_cast("int"), F.lit(1))
+    return F.struct(first.alias("first"), F.coalesce(b.try_cast("int"), F.when(a != "", first).otherwise(3)).alias("last"))

@@ -78,3 +78,14 @@ def visible(status: DataFrame, policies: str | None = None, known: tuple[str, ..
     if passing_only:
         status = status.where(F.col("quality_bar").startswith("passing"))
     return status.where(F.coalesce("access_policy", F.lit(default)).isin(allowed)) if allowed else status
+
+
+def set_status(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the status of ``updates (key, status, reviewer, reviewed_at)``; reviewer and time
+    change only where a reviewer is given, and ids that do not exist change nothing."""
+    u = updates.select(F.col(key).alias("_k"), F.col("status").alias("_s"), F.col("reviewer").alias("_r"), F.col("reviewed_at").alias("_a"))
+    by = F.col("_r").isNotNull()
+    return rows.join(u, F.col(key) == F.col("_k"), "left").select(
+        *(c for c in rows.columns if c not in ("status", "human_reviewed_by", "human_reviewed_at")), F.coalesce("_s", "status").alias("status"),
+        F.when(by, F.col("_r")).otherwise(F.col("human_reviewed_by")).alias("human_reviewed_by"), F.when(by, F.col("_a")).otherwise(F.col("human_reviewed_at")).alias("human_reviewed_at"),
+    )

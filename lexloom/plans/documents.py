@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
 from lexloom.functions import text as T
-from lexloom.operators import atomize, fold, migrate, modelcode, store, summaries, tree, validate
+from lexloom.operators import atomize, fold, migrate, modelcode, references, store, summaries, tree, validate
 from lexloom.plans import Registry
 from lexloom.sources import markup, pages
 from lexloom.tables import table
@@ -330,6 +330,13 @@ def section_samples(spark: SparkSession, d: str) -> DataFrame:
     return x.where("place <= 25").withColumn("place", F.col("place").cast("bigint"))
 
 
+@R.query("xref_records")
+def xref_records(spark: SparkSession, d: str) -> DataFrame:
+    """References in bodies as records, with context, kind and link, numbered within their edition."""
+    s = table(spark, d, "code_sections").groupBy("entity_id").agg(F.max_by(F.struct("code_edition_id", "section_number", "body_text"), F.struct(_us("fetched_at"), F.col("content_hash"))).alias("r"), F.min(_us("fetched_at")).alias("seq"))
+    return references.sniff(s.select("entity_id", "r.*", "seq"))[0]
+
+
 @R.query("legacy_sources_by_name", "SELECT id, source_name, label, source_type, license_type FROM legacy_sources ORDER BY source_name")
 def legacy_sources_by_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "legacy_sources").select("id", "source_name", "label", "source_type", "license_type").orderBy("source_name")
@@ -366,8 +373,8 @@ def event_fold(spark: SparkSession, d: str) -> DataFrame:
 )
 def event_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Steps of users that are not in a table of legal ones."""
-    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().limit(1000).collect()]
-    legal = spark.createDataFrame([*(("view", k) for k in kinds), ("click", "purchase")], "from_state string, to_state string").distinct()
+    kinds = table(spark, d, "events").select(F.lit("view").alias("from_state"), F.col("event_type").alias("to_state")).distinct()
+    legal = kinds.unionByName(spark.createDataFrame([("click", "purchase")], "from_state string, to_state string")).distinct()
     x = fold.illegal_transitions(table(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", [F.col("ts"), F.col("event_id")], "event_type", legal)
     return x.select("user_id", "event_id", "from_state", "to_state")
 

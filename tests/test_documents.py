@@ -1,7 +1,9 @@
 """Readers, trees and records on re-authored pages."""
 
-from lexloom.operators import atomize, modelcode, tree
-from lexloom.sources import markup, pages
+from pyspark.sql import functions as F
+
+from lexloom.operators import atomize, migrate, modelcode, references, store, tree
+from lexloom.sources import files, markup, pages
 
 PAGE = """<html><head><meta name="publication-date" content="2021-05-01"><meta name="jurisdiction-name" content="Rivertown"></head><body>
 <h1 id="c1">Chapter 1 General</h1><h3 id="s1">§ 1.01 — Purpose</h3><p>This code applies. See § 1.02(a) for terms.<p data-subsection="(a)">Second paragraph.
@@ -121,3 +123,38 @@ def test_null_and_empty(spark):
     t = tree.build_tree(markup.with_references(markup.html_blocks(empty)))
     assert atomize.sections(t, spark.createDataFrame(META, atomize.META)).count() == 0
     assert tree.quality(t).count() == 0
+
+
+def test_references_in_bodies(spark):
+    body = "See § 1-2(a) and, subject to section 1-2, also § 9-9. Section 1-3 is amended."
+    rows = [("t/e/1-1", "t/e", "§ 1-1", body, 1), ("t/e/1-2", "t/e", "Sec. 1-2", None, 2), ("t/e/1-3", "t/e", "1-3", "", 3), ("u/e/9-9", "u/e", "9-9", "none", 4)]
+    good, bad = references.sniff(spark.createDataFrame(rows, "entity_id string, code_edition_id string, section_number string, body_text string, seq int"))
+    got = {r.reference_text: r for r in good.collect()}
+    assert {k: r.to_section_id for k, r in got.items()} == {"§ 1-2(a)": "t/e/1-2", "Section 1-3": "t/e/1-3"}
+    assert got["§ 1-2(a)"].reference_context == body[: 4 + 8 + 60].strip() and got["§ 1-2(a)"].reference_type == "subject-to"
+    assert sorted(r.entity_id for r in good.collect()) == ["t/e/t-e-1-1/xref-1", "t/e/t-e-1-1/xref-2"]
+    assert [(r.from_section_id, r.label) for r in bad.collect()] == [("t/e/1-1", "9-9")]
+    links = spark.createDataFrame([("code-section", "a", "code-section", "b", "cites", None), ("code-edition", "e", "code-section", "b", "contains", None)], "from_type string, from_id string, to_type string, to_id string, link_type string, context string")
+    assert sorted(r.link_type for r in references.replace_links(links, good).collect()) == sorted(["contains", *(r.link_type for r in got.values())])
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.html").write_text(PAGE)
+    files.register(spark)
+    got = spark.read.format("lexloom_html").load(f"{tmp_path}/*.html")
+    assert got.count() == 8 and got.where("kind = 'definition'").first().label == "Shed"
+    raw = spark.createDataFrame([("good", b"one|two"), ("scan", b""), ("bad", b"!"), ("null", None)], "path string, content binary")
+    rows = files.extract_pages(raw, lambda b: [x for x in b.decode().split("|")] if b != b"!" else 1 / 0, lambda b: "ocr").collect()
+    assert sorted((r.page, r.page_no, r.text) for r in rows if r.text) == [("good", 1, "one"), ("good", 2, "two"), ("scan", 1, "ocr")]
+    assert [r.page for r in rows if r.error] == ["bad"]
+
+
+def test_units_ranges_and_status(spark):
+    one = spark.range(2)
+    df, why = migrate.run_units({"a": lambda: one, "b": lambda: one.limit(0), "c": lambda: 1 / 0, "d": lambda: one.withColumn("x", one["id"])})
+    assert df.groupBy("unit_id").count().count() == 2 and why == {"b": "no rows", "c": "division by zero"}
+    r = spark.createDataFrame([("4",), ("2-6",), ("x",), (None,)], "s string").select("s", migrate.page_range(F.col("s")).alias("p")).collect()
+    assert {x.s: tuple(x.p) for x in r} == {"4": (4, 4), "2-6": (2, 6), "x": (1, 3), None: (1, 3)}
+    q = spark.createDataFrame([("q1", "draft", None, None), ("q2", "draft", "old", "t0")], "query_id string, status string, human_reviewed_by string, human_reviewed_at string")
+    u = spark.createDataFrame([("q1", "approved", "me", "t1"), ("q2", "rejected", None, "t2"), ("none", "x", "y", "z")], "query_id string, status string, reviewer string, reviewed_at string")
+    assert sorted(tuple(x) for x in store.set_status(q, u, "query_id").collect()) == [("q1", "approved", "me", "t1"), ("q2", "rejected", "old", "t0")]
