@@ -1,8 +1,9 @@
 """Most similar vectors for every vector, by a hierarchical k-means tree.
 
-A tree of k-means centres is grown on a bounded sample; every row is then filed under one leaf.
-Each query walks the tree best bin first: a priority queue holds the branches seen so far, nearest
-centre first, and yields leaves in that order. How many leaves a query visits is calibrated: exact
+A tree of k-means centres is grown on a bounded sample, its leaves are settled by a few rounds of
+k-means over all of them, and every row is filed under the leaf of the nearest centre. Each query
+walks the tree best bin first: a priority queue holds the branches seen so far, by the nearest leaf
+centre below them, and yields leaves in that order. How many leaves a query visits is calibrated: exact
 neighbours of sampled queries are found by brute force over all rows, and the number of visits is
 widened until the wanted share of them lies in visited leaves. Leaves whose bound excludes the
 asked similarity are skipped, as no row of theirs can count.
@@ -31,9 +32,9 @@ class Similar:
     least: float = -1.0
     dims: int = 64
     #: Share of the true neighbours of the calibration queries that must be in visited leaves.
-    recall: float = 0.9999
-    branch: int = 8
-    leaf_rows: int = 400
+    recall: float = 0.999
+    branch: int = 16
+    leaf_rows: int = 200
     #: Rows on which the tree is grown, of all spaces together, and the most leaves it may get.
     sample: int = 40_000
     most_leaves: int = 4096
@@ -76,7 +77,13 @@ class Tree:
         for i, node in enumerate(sorted(done)):
             self.leaf[node] = i
         self.n_leaves = len(done)
-        self.centre = np.stack(centre)
+        self.leaf_centre = np.stack(centre)[sorted(done)]
+        for _ in range(2 if self.n_leaves > 1 else 0):
+            own = (sample @ self.leaf_centre.T).argmax(1)
+            c = np.zeros_like(self.leaf_centre)
+            np.add.at(c, own, sample)
+            size = np.linalg.norm(c, axis=1, keepdims=True)
+            self.leaf_centre = np.where(size > 0, c / np.where(size > 0, size, 1), self.leaf_centre)
 
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -89,63 +96,44 @@ class Tree:
         own = (x @ c.T).argmax(1)
         return [(c[j], x[own == j]) for j in range(k) if (own == j).any()]
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each row, and its cosine with the leaf's centre."""
-        at = np.zeros(len(x), np.int64)
-        out, cos = np.zeros(len(x), np.int64), np.ones(len(x))
-        todo = [(0, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if not self.kids[node]:
-                out[rows] = self.leaf[node]
-                cos[rows] = x[rows] @ self.centre[node]
-                continue
-            kids = np.array(self.kids[node])
-            at = kids[(x[rows] @ self.centre[kids].T).argmax(1)]
-            for kid in kids:
-                if (at == kid).any():
-                    todo.append((kid, rows[at == kid]))
-        return np.stack([out.astype(float), cos])
-
-    @property
-    def leaf_node(self) -> np.ndarray:
-        out = np.zeros(self.n_leaves, np.int64)
-        for node, i in enumerate(self.leaf):
-            if i >= 0:
-                out[i] = node
-        return out
-
-    def open_nodes(self, leaves: np.ndarray) -> np.ndarray:
-        """For each query (row), which nodes have an allowed leaf below them."""
-        out = np.zeros((len(leaves), len(self.kids)), bool)
-        out[:, self.leaf_node] = leaves
+        leaf, cos = np.zeros(len(x), np.int32), np.ones(len(x))
+        for lo in range(0, len(x), 2000):
+            sims = x[lo : lo + 2000] @ self.leaf_centre.T
+            leaf[lo : lo + 2000] = sims.argmax(1)
+            cos[lo : lo + 2000] = sims.max(1)
+        return leaf, cos
+
+    def bounds(self, leaf_sims: np.ndarray) -> np.ndarray:
+        """For each query (row) and node, the largest cosine of a leaf centre below the node."""
+        out = np.full((len(leaf_sims), len(self.kids)), -2.0)
         for node in range(len(self.kids) - 1, -1, -1):
-            if self.kids[node]:
-                out[:, node] = out[:, self.kids[node]].any(1)
+            out[:, node] = leaf_sims[:, self.leaf[node]] if self.leaf[node] >= 0 else out[:, self.kids[node]].max(1)
         return out
 
-    def walk(self, sims: np.ndarray, visits: int, allowed: np.ndarray) -> list[int]:
-        """Leaves in best-bin-first order, from one query's cosines with all centres."""
-        heap, out = ([(0.0, 0)] if allowed[0] else []), []
+    def walk(self, bound: np.ndarray, visits: int) -> list[int]:
+        """Leaves in best-bin-first order, from one query's bounds; none where the bound is -2."""
+        heap, out = ([(-bound[0], 0)] if bound[0] > -1.5 else []), []
         while heap and len(out) < visits:
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
                 continue
             for kid in self.kids[node]:
-                if allowed[kid]:
-                    heapq.heappush(heap, (-sims[kid], kid))
+                if bound[kid] > -1.5:
+                    heapq.heappush(heap, (-bound[kid], kid))
         return out
 
 
 def _visit(tree: Tree, x: np.ndarray, reach: tuple[np.ndarray, np.ndarray], visits: int, cfg: Similar) -> Iterator[list[int]]:
     """Leaves that each query visits. A leaf is skipped when the angle to its centre exceeds that
     of the asked similarity by more than the leaf's own radius."""
-    sims = x @ tree.centre.T.astype(x.dtype)
-    far = np.arccos(np.clip(sims[:, tree.leaf_node], -1, 1)) - np.arccos(np.clip(reach[0], -1, 1))[None, :]
-    allowed = tree.open_nodes((far <= np.arccos(cfg.least) + 1e-4) & (reach[1] > 0)[None, :])
-    for i in range(len(x)):
-        yield tree.walk(sims[i], visits, allowed[i])
+    sims = x @ tree.leaf_centre.T.astype(x.dtype)
+    far = np.arccos(np.clip(sims, -1, 1)) - np.arccos(np.clip(reach[0], -1, 1))[None, :]
+    open_ = (far <= np.arccos(cfg.least) + 1e-4) & (reach[1] > 0)[None, :]
+    for bound in tree.bounds(np.where(open_, sims, -2.0)):
+        yield tree.walk(bound, visits)
 
 
 def _unit(b: pa.RecordBatch, col: int) -> np.ndarray:
@@ -266,8 +254,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
             for s in set(spaces):
                 if s in shared.value:
                     at = spaces == s
-                    got = shared.value[s].assign(x[at])
-                    leaf[at], cos[at] = got[0].astype(np.int32), got[1]
+                    leaf[at], cos[at] = shared.value[s].assign(x[at])
             f32 = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cfg.dims), pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), f32, pa.array(leaf), pa.array(cos)], names=["space", "gid", "v", "leaf", "cos"])
 
