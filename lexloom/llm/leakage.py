@@ -118,43 +118,63 @@ class Items:
 
     def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Items met by the text and the fewest replaced words of each."""
-        w, none = self.cfg.window, (np.empty(0, np.int64), np.empty(0, np.int64))
+        return self.find_many([text])[1:]
+
+    def find_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, item met by it, and the fewest replaced words."""
+        w, none = self.cfg.window, np.empty(0, np.int64)
         number = self.number
-        ws = np.array([number.get(x, 0) for x in words(text)], np.int64)
+        parts = [np.array([number.get(x, 0) for x in words(t)], np.int64) for t in texts]
+        ws = np.concatenate(parts) if parts else none
         if len(ws) < w or not len(self.starts):
-            return none
-        # A window with more foreign words than edits cannot be near any item's.
+            return none, none, none
+        text_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        # A window lies in one text; one with more foreign words than edits is near no item's.
         foreign = np.concatenate([[0], np.cumsum(ws == 0)])
-        starts = np.flatnonzero(foreign[w:] - foreign[:-w] <= self.cfg.edits)
-        owners, edits = [], []
-        for lo in range(0, len(starts), 200_000):
-            here = starts[lo : lo + 200_000]
+        starts = np.flatnonzero((foreign[w:] - foreign[:-w] <= self.cfg.edits) & (text_of[: len(ws) - w + 1] == text_of[w - 1 :]))
+        met_text, owners, edits = [], [], []
+        for lo in range(0, len(starts), 50_000):
+            here = starts[lo : lo + 50_000]
             a, b = [], []
             for (sorted_keys, order), keys in zip(self.tables, self.sketch.keys(ws, here)):
-                left, right = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-                n = right - left
-                if n.any():
-                    src = np.repeat(np.arange(len(here)), n)
+                left = np.searchsorted(sorted_keys, keys, "left")
+                hit = np.flatnonzero(sorted_keys[np.minimum(left, len(sorted_keys) - 1)] == keys)
+                if len(hit):
+                    left = left[hit]
+                    n = np.searchsorted(sorted_keys, keys[hit], "right") - left
                     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    a.append(here[src])
+                    a.append(here[np.repeat(hit, n)])
                     b.append(order[np.repeat(left, n) + within])
             if not a:
                 continue
             met = np.unique(np.concatenate(a) * np.int64(len(self.starts)) + np.concatenate(b))
-            for cut in range(0, len(met), 500_000):
-                x, y = np.divmod(met[cut : cut + 500_000], len(self.starts))
+            for cut in range(0, len(met), 200_000):
+                x, y = np.divmod(met[cut : cut + 200_000], len(self.starts))
                 differ = np.zeros(len(x), np.int64)
                 for i in range(w):
                     differ += ws[x + i] != self.words[self.starts[y] + i]
                 ok = differ <= self.cfg.edits
+                met_text.append(text_of[x[ok]])
                 owners.append(self.owner[y[ok]])
                 edits.append(differ[ok])
         if not owners:
-            return none
-        owner, edit = np.concatenate(owners), np.concatenate(edits)
-        order = np.lexsort((edit, owner))
-        owner, first = np.unique(owner[order], return_index=True)
-        return owner, edit[order][first]
+            return none, none, none
+        t, owner, edit = np.concatenate(met_text), np.concatenate(owners), np.concatenate(edits)
+        order = np.lexsort((edit, owner, t))
+        t, owner, edit = t[order], owner[order], edit[order]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])]) if len(t) else none
+        return t[first], owner[first], edit[first]
+
+
+def _chunks(ids: list, texts: list[str], most: int = 50_000) -> Iterator[tuple[list, list[str]]]:
+    """Texts of about ``most`` characters at a time; a longer one is a chunk of its own."""
+    lo = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > most:
+            yield ids[lo:i], texts[lo:i]
+            lo, total = i, 0
+        total += len(t)
+    yield ids[lo:], texts[lo:]
 
 
 def leaks(docs: DataFrame, items: DataFrame, cfg: Leak = Leak()) -> DataFrame:
@@ -180,13 +200,11 @@ def leaks(docs: DataFrame, items: DataFrame, cfg: Leak = Leak()) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for b in batches:
-                ids, who, edits = [], [], []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    owner, e = block.find(text.as_py())
-                    ids += [doc] * len(owner)
-                    who += [block.ids[i] for i in owner]
-                    edits += e.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who, pa.string()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "edits"])
+                for ids, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    at, owner, edits = block.find_many(texts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in at], pa.int64()), pa.array([block.ids[i] for i in owner], pa.string()), pa.array(edits.astype(np.int32))], names=["doc_id", "item_id", "edits"]
+                    )
 
         found = source.mapInArrow(search, "doc_id bigint, item_id string, edits int")
         out = found if out is None else out.unionByName(found)
