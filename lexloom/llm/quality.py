@@ -52,6 +52,9 @@ class Quality:
     #: Least share of the characters that those lines must hold; below it they are a short
     #: enumeration in prose.
     least_chars: float = 0.4
+    #: Least autocorrelation or likeness of short lines by which lines without marker or delimiter
+    #: are entries, and least share of them that aligned rows must have.
+    period: float = 0.6
     #: A readable word is held by this share of the documents, and by three at least.
     least_share: float = 0.0005
 
@@ -131,6 +134,32 @@ def _near_lengths(x: np.ndarray) -> float:
     return float(1 / (1 + x.std() / x.mean())) if len(x) > 1 and x.mean() > 0 else 0.0
 
 
+def _periodic(lines: list[str], size: np.ndarray, indent: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows and entries that only repeat in layout, without marker or delimiter, and how well they do.
+
+    Both are short lines that carry no sentence on. Rows are those with words starting at the places
+    where most of them have one, in a page with figures; of the others indentation or length repeats.
+    """
+    n, none = len(lines), np.zeros(len(lines), bool)
+    words_ = np.array([len(x.split()) for x in lines])
+    ends = np.array([bool(_SENTENCE_END.search(x)) for x in lines], bool)
+    lower = np.array([x.lstrip()[0].islower() for x in lines], bool)
+    # Lower-case lines go on with a sentence, unless all are single names or indentation repeats.
+    names = lower.mean() >= 0.9 and words_.mean() <= 3 or indent.std() > 0 and _autocorrelation(indent) >= 0.6
+    carried = none if names else lower & np.append(False, ~ends[:-1])
+    short = (words_ <= 6) & ~ends & ~carried & ~np.append(carried[1:], False)
+    if short.sum() < max(6, 0.5 * n):
+        return none, none, 0.0
+    starts = [{m.end() for m in re.finditer(r"(?<=\S) +(?=\S)", x)} if s else set() for x, s in zip(lines, short)]
+    at = {p for p, c in Counter(p for x in starts for p in x).items() if c >= 0.8 * short.sum()}
+    rows = short & np.array([bool(at) and at <= x for x in starts], bool)
+    figures = np.array([any(c.isdigit() for p in at for c in x[p:].split(" ", 1)[0]) for x in lines], bool)
+    if rows.any() and figures[rows].mean() >= 0.5:
+        return rows, none, float(rows.sum() / short.sum())
+    x = indent[short]
+    return none, short, max(_autocorrelation(x) if x.any() else 0.0, _autocorrelation(size[short]), _near_lengths(size[short]))
+
+
 def describe(text: str | None, readable: set[str], common: set[str]) -> dict[str, float]:
     text = text or ""
     ws = WORD.findall(text.lower())
@@ -152,6 +181,7 @@ def describe(text: str | None, readable: set[str], common: set[str]) -> dict[str
     else:
         rows &= ~listed
     n = max(1, len(lines))
+    period_rows, period_entries, period = _periodic(lines, size, indent) if len(lines) >= 6 else (rows & False, rows & False, 0.0)
     return {
         "n_words": len(ws), "mean_word_length": sum(map(len, ws)) / max(1, len(ws)), "symbol_ratio": symbols / n_solid,
         "line_end_ratio": sum(bool(_SENTENCE_END.search(x)) for x in lines) / n,
@@ -165,6 +195,8 @@ def describe(text: str | None, readable: set[str], common: set[str]) -> dict[str
         "line_copies": 1 - len({re.sub(r"[0-9]+", "0", x.strip()) for x in lines}) / n,
         "long_ratio": sum(len(w) for w in ws if len(w) > 30) / n_solid,
         "laid_out": float(size[rows | listed].sum() / size.sum()) if lines else 0.0,
+        "period": period, "period_rows": float(period_rows.sum()) / n, "period_entries": float(period_entries.sum()) / n,
+        "period_chars": float(size[period_rows | period_entries].sum() / size.sum()) if lines else 0.0,
     }
 
 
@@ -179,6 +211,11 @@ def classify(f: dict[str, float], cfg: Quality) -> str:
     if not laid_out:
         unread = f["readable_ratio"] < 0.5 or f["vowel_ratio"] < 0.4 or f["n_words"] == 0
         repeats = f["n_words"] >= 8 and f["distinct_ratio"] < 0.12 and f["distinct_ratio"] * f["n_words"] < 40
+        if not repeats and f["line_end_ratio"] <= 0.3 and f["period"] >= cfg.period and f["period_chars"] >= cfg.least_chars:
+            if max(f["period_rows"], f["row_ratio"]) > cfg.most:
+                return "table"
+            if f["period_entries"] > cfg.most and f["vowel_ratio"] >= 0.4 and (f["readable_ratio"] >= 0.3 or f["common_ratio"] > 0):
+                return "list"
         return "junk" if unread or repeats else "prose"
     if f["row_ratio"] > f["entry_ratio"]:
         return "table"

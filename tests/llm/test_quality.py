@@ -26,3 +26,19 @@ def test_statistics(spark):
     assert r.mean_word_length == pytest.approx(15 / 4) and r.symbol_ratio == pytest.approx(2 / 17) and r.common_ratio == 1.0
     assert got[2].n_words == 0 and got[2].kind == got[3].kind == "prose"
     assert text_statistics(df.limit(0)).count() == 0
+
+
+NAMES = ["Shed", "Garage wall", "Front lot", "Pool", "Side area", "Zone uses", "Wall", "Lot contents"]
+WRAPPED = [PROSE[i : i + 36] for i in range(0, 105, 36)] * 3
+ONLY_LAYOUT = {
+    "list": ["\n".join("    " + x for x in NAMES), "\n".join(f"{x}\n    near the clerk\n    no fees" for x in NAMES), "Permitted uses\n" + "\n".join(NAMES)],
+    "table": ["\n".join(f"Zone{i} {i * 37 % 90 + 10} {i * 53 % 900 + 100} ft" for i in range(1, 9))],
+    "prose": ["\n".join(WRAPPED), "\n".join("    " + x for x in WRAPPED), "No person\nmay store\nmaterial on\nthe lot without\napproval the\napplicant shall\nfile with\nthe clerk."],
+}
+
+
+@pytest.mark.parametrize("kind,text", [(k, t) for k, ts in ONLY_LAYOUT.items() for t in ts])
+def test_kinds_that_only_repeating_layout_decides(kind, text):
+    f = describe(text, KNOWN | {"permitted", "near", "the", "clerk", "no"}, KNOWN)
+    assert max(f["row_ratio"], f["entry_ratio"]) <= Quality().most
+    assert classify(f, Quality()) == kind
