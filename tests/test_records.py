@@ -1,15 +1,19 @@
 """Orphans, hierarchies and snapshot changes on small cases: nulls, ties, copies, empty tables."""
 
+import os
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators.hierarchy import hierarchy
 from lexloom.operators.orphans import broken_references
 from lexloom.operators.snapshots import snapshot_changes
+from lexloom.plans import records
 from lexloom.tables import Scratch
+from tests.compare import connect
 
 CHILD = "parent_table string, scope string, ref string, at timestamp, child string, extra int"
 PARENT = "parent_table string, scope string, ref string, since timestamp, until timestamp"
@@ -123,3 +127,18 @@ def test_labels(spark):
     outline = {"Chapter 1": "1", "CH. 2.": "2", " § 1-2.1 ": "1-2.1", "Sec. 1-2": "1-2", None: None}
     df = spark.createDataFrame([(k,) for k in outline], "value string").select("value", T.outline_key(F.col("value")).alias("k"))
     assert {r.value: r.k for r in df.collect()} == outline
+
+
+def test_ranges_hold_the_descendants_of_inner_nodes(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    f = records.p4_ranges(spark, folder).toPandas()
+    got = {
+        (t, a.node_id, b.node_id)
+        for (t, _), tree in f.groupby(["node_table", "root_id"]) for a in tree.itertuples() for b in tree.itertuples() if a.lft < b.lft <= a.rgt
+    }
+    want = connect(folder).sql(records.P4 + "SELECT t, unnest(chain[:-2]) AS a, node AS b FROM ok").fetchall()
+    assert got == set(want) and len(want) == len(got)
+    roots = set(f[f.lft == 0].node_id)
+    assert any(a not in roots for _, a, _ in got)
