@@ -162,6 +162,19 @@ def sections_by_number(spark: SparkSession, d: str) -> DataFrame:
     return s.join(s.select("jurisdiction_tenant", "section_number", F.col("entity_id").alias("same_number_id")), ["jurisdiction_tenant", "section_number"]).select("entity_id", "same_number_id").distinct()
 
 
+@R.query(
+    "section_number_groups",
+    """WITH s AS (SELECT DISTINCT jurisdiction_tenant, section_number, entity_id FROM code_sections WHERE jurisdiction_tenant IS NOT NULL AND section_number IS NOT NULL AND entity_id IS NOT NULL),
+    g AS (SELECT jurisdiction_tenant, section_number, count(*) AS n_sections FROM s GROUP BY 1, 2)
+    SELECT s.jurisdiction_tenant, s.section_number, s.entity_id, n_sections FROM s JOIN g ON g.jurisdiction_tenant = s.jurisdiction_tenant AND g.section_number = s.section_number""",
+)
+def section_number_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Exact section number within a tenant, for all tenants: each section with its group and the
+    group's size, so that a group of n sections is n rows and not its n * n pairs."""
+    s = table(spark, d, "code_sections").select("jurisdiction_tenant", "section_number", "entity_id").dropna().distinct()
+    return s.join(s.groupBy("jurisdiction_tenant", "section_number").agg(F.count("*").alias("n_sections")), ["jurisdiction_tenant", "section_number"])
+
+
 def _status_rows(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "ingest_reports").select("jurisdiction_tenant", _us("run_at").alias("w"), "report_id", "access_policy", "sections_ingested", "cross_references_ingested", "cross_references_resolved")
     latest = x.groupBy("jurisdiction_tenant").agg(F.max_by(F.struct("report_id", "access_policy", "sections_ingested", "cross_references_ingested", "cross_references_resolved"), F.struct("w", "report_id")).alias("r"))
@@ -433,6 +446,15 @@ def _overlays(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _effective(spark: SparkSession, d: str, part: DataFrame) -> DataFrame:
+    parts = part.select(
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("base_id"), F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), F.lit("base").alias("code_edition_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("t"),
+    )
+    bases = parts.select(F.concat(F.lit("tenant-"), F.col("t").cast("string")).alias("jurisdiction_tenant"), "base_id", "section_number", "title", "code_edition_id")
+    return rules.effective_rules(bases, _overlays(spark, d)).drop("code_edition_id")
+
+
 @R.query(
     "effective_rule_all",
     f"""WITH o AS (SELECT 'tenant-' || (user_id % 7) AS t, 'part-' || (event_id % 211) AS b, strftime(ts, '%Y-%m-%d') AS dt, event_id AS seq, {_OPS} AS op FROM events),
@@ -445,12 +467,13 @@ def _overlays(spark: SparkSession, d: str) -> DataFrame:
         ELSE ': ' || resolution || ' for ' || t || ' by ' || CASE WHEN k = 1 THEN '1 overlay' ELSE k || ' overlays' END || ' (latest: ordinance ' || ord || ', ' || op || ', effective ' || dt || ').' END AS note FROM x""",
 )
 def effective_rule_all(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").where("p_partkey < 150").select(
-        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("base_id"), F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), F.lit("base").alias("code_edition_id"),
-        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("t"),
-    )
-    bases = parts.select(F.concat(F.lit("tenant-"), F.col("t").cast("string")).alias("jurisdiction_tenant"), "base_id", "section_number", "title", "code_edition_id")
-    return rules.effective_rules(bases, _overlays(spark, d)).drop("code_edition_id")
+    return _effective(spark, d, table(spark, d, "part").where("p_partkey < 150"))
+
+
+@R.query("effective_rule_parts", R.sql["effective_rule_all"].replace(" WHERE p_partkey < 150", ""))
+def effective_rule_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every part, where ``effective_rule_all`` has those below 150 as base sections."""
+    return _effective(spark, d, table(spark, d, "part"))
 
 
 @R.query(
