@@ -43,9 +43,7 @@ _BROKEN = re.compile("[�■□]|[ÃÂâ](?=[\u0080-¿€™œž‘-•˜…])|
 
 @dataclass(frozen=True)
 class Quality:
-    #: Words held by the most documents, by which text is taken as readable, and by which the
-    #: share of common words is measured (both are counted over all documents).
-    readable: int = 5_000
+    #: Words held by the most distinct texts, by which the share of common words is measured.
     common: int = 200
     #: Least share of the non-empty lines that makes a document a list or table.
     most: float = 0.5
@@ -55,8 +53,11 @@ class Quality:
     #: Least autocorrelation or likeness of short lines by which lines without marker or delimiter
     #: are entries, and least share of them that aligned rows must have.
     period: float = 0.6
-    #: A readable word is held by this share of the documents, and by three at least.
+    #: A readable word is held by this share of the distinct texts. From ``few`` of them on it is
+    #: held by two at least; with fewer every word is readable, and vowels, symbols, tags and
+    #: repetition alone tell junk.
     least_share: float = 0.0005
+    few: int = 50
 
 
 def _fields(line: str, sign: str) -> list[str]:
@@ -225,16 +226,18 @@ def classify(f: dict[str, float], cfg: Quality) -> str:
 def text_statistics(docs: DataFrame, cfg: Quality = Quality()) -> DataFrame:
     """``doc_id``, the statistics of ``STATS`` and ``kind`` for every row of ``docs (doc_id, text, ...)``.
 
-    Null, empty and blank texts have zeros and kind ``prose``. Whole texts are read. Which words are
-    common is counted over all documents; of those counts a fixed number of words is broadcast (a feature's definition, not a cap on rows).
+    Null, empty and blank texts have zeros and kind ``prose``. Whole texts are read. Readable and
+    common words are counted over all distinct texts, so copies count once. No number of words caps
+    the readable: at most (distinct words in a text, on average) / ``least_share`` can have the share.
     Repeated rows come out as often as they go in.
     """
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"), "doc_id")
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).where("w rlike '[^0-9]'")
-    top = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(cfg.readable)
-    least = max(3, cfg.least_share * docs.count())
-    known = [r[0] for r in top.collect() if r[1] >= least]
+    texts = docs.select("text").where("text is not null").distinct()
+    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).where("w rlike '[^0-9]'")
+    n_texts = texts.count()
+    least = 1 if n_texts < cfg.few else max(2, cfg.least_share * n_texts)
+    known = [r[0] for r in held.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()]
     shared = spark.sparkContext.broadcast((set(known), set(known[: cfg.common])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

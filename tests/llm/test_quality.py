@@ -42,3 +42,18 @@ def test_kinds_that_only_repeating_layout_decides(kind, text):
     f = describe(text, KNOWN | {"permitted", "near", "the", "clerk", "no"}, KNOWN)
     assert max(f["row_ratio"], f["entry_ratio"]) <= Quality().most
     assert classify(f, Quality()) == kind
+
+
+def test_readable_words_are_counted_over_distinct_texts(spark):
+    debris = "uvo xaqe ziro kyle baqu ewo iqua oze vuxa aqyl"
+    prose = [f"{PROSE} Permit {i}." for i in range(60)]
+    rich = [" ".join("wo" + "".join("abcdefghij"[int(c)] for c in str(n)) for n in range(6000)) + f" {i}" for i in range(4)]
+    minority = ["La piscina no podrá ser reparada cerca de la escuela " + x for x in ("norte", "sur", "este")]
+    texts = prose + rich + minority + [debris] * 10
+    got = {r.doc_id: r.kind for r in text_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == ["prose"] * 67 + ["junk"] * 10
+
+
+def test_texts_too_few_to_tell_readable_words(spark):
+    df = spark.createDataFrame([(1, PROSE), (2, "Another wall stands by the pool."), (3, "zzq " * 30)], "doc_id long, text string")
+    assert {r.doc_id: r.kind for r in text_statistics(df).collect()} == {1: "prose", 2: "prose", 3: "junk"}
