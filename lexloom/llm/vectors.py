@@ -152,8 +152,8 @@ def _smallest(keyed: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _best(met: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("space", "gid").orderBy(F.col("s").desc(), "other")
+def _best(met: DataFrame, n: int, tie: str = "other") -> DataFrame:
+    w = Window.partitionBy("space", "gid").orderBy(F.col("s").desc(), tie)
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
@@ -223,8 +223,9 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
 
     Rows of one direction form a group that is filed and searched once: of a group only the k + 1
     smallest ids can be among any row's first k. Groups meet in leaves, in blocks of bounded size,
-    so a crowded leaf is spread over tasks. The candidates are compared in single precision and the
-    kept ones again in double.
+    so a crowded leaf is spread over tasks. Candidates are compared in double precision and ranked by
+    similarity to 12 digits, then the smallest id of the group: the k first groups hold the k first
+    rows, and five more stand by for sums that round otherwise when the kept are compared again.
     """
     spark = rows.sparkSession
     good = (F.size("vec") == cfg.dims) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -239,7 +240,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.array(key, np.uint64).view(np.int64))], names=["id", "space", "vec", "gid"])
 
     keyed = scratch.save(usable.mapInArrow(group_ids, "id string, space string, vec array<double>, gid bigint"), "keyed")
-    base = scratch.save(keyed.groupBy("space", "gid").agg(F.min_by("vec", "id").alias("vec"), F.count("*").alias("copies")), "base")
+    base = scratch.save(keyed.groupBy("space", "gid").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("first"), F.count("*").alias("copies")), "base")
     few = scratch.save(_smallest(keyed, cfg.k + 1), "few")
     total = base.count()
     trees = _grow(base, cfg, total)
@@ -255,10 +256,10 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                 if s in shared.value:
                     at = spaces == s
                     leaf[at], cos[at] = shared.value[s].assign(x[at])
-            f32 = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cfg.dims), pa.array(x.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), f32, pa.array(leaf), pa.array(cos)], names=["space", "gid", "v", "leaf", "cos"])
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cfg.dims), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), v, pa.array(leaf), pa.array(cos), b.column(3)], names=["space", "gid", "v", "leaf", "cos", "first"])
 
-    filed = scratch.save(spread(base.select("space", "gid", "vec"), "gid").mapInArrow(file, "space string, gid bigint, v array<float>, leaf int, cos double"), "filed")
+    filed = scratch.save(spread(base.select("space", "gid", "vec", "first"), "gid").mapInArrow(file, "space string, gid bigint, v array<double>, leaf int, cos double, first string"), "filed")
     sizes = filed.where(F.col("space").isin(list(trees))).groupBy("space", "leaf").agg(F.count("*").alias("n"), F.min("cos").alias("cos")).toPandas()
     reach = {s: (np.ones(t.n_leaves), np.zeros(t.n_leaves, np.int64)) for s, t in trees.items()}
     for s, leaf, n, cos in sizes.itertuples(index=False):
@@ -290,9 +291,9 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                 take = b.take(pa.array(src, pa.int32()))
                 yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(2), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["space", "gid", "v", "leaf", "block"])
 
-    asked = filed.select("space", "gid", "v").mapInArrow(ask, "space string, gid bigint, v array<float>, leaf int, block int")
+    asked = filed.select("space", "gid", "v").mapInArrow(ask, "space string, gid bigint, v array<double>, leaf int, block int")
     n_of = [(s, i, blocks_of(n)) for s in trees for i, n in enumerate(reach[s][1]) if blocks_of(n) > 1]
-    stored = filed.select("space", "gid", "v", "leaf")
+    stored = filed.select("space", "gid", "v", "leaf", "first")
     if n_of:
         wide = spark.createDataFrame(n_of, "bs string, bl int, blocks int")
         stored = stored.join(F.broadcast(wide), (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left")
@@ -300,12 +301,12 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     else:
         stored = stored.withColumn("block", F.lit(0))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * max([1, *visits.values()]) // 400_000)
-    both = asked.withColumn("query", F.lit(True)).unionByName(stored.select("space", "gid", "v", "leaf", "block").withColumn("query", F.lit(False)))
+    both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored.select("space", "gid", "v", "leaf", "block", F.lit(False).alias("query"), "first"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by leaf and block, stored rows first."""
-        key, store_ids, store_vecs = None, [], []
-        ids = vecs = None
+        key, store_ids, store_vecs, store_first = None, [], [], []
+        ids = vecs = first = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -315,29 +316,36 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if keys[lo] != key:
-                    key, store_ids, store_vecs, ids = keys[lo], [], [], None
+                    key, store_ids, store_vecs, store_first, ids = keys[lo], [], [], [], None
                 stored_here = ~is_query[lo:hi]
                 if stored_here.any():
                     store_ids.append(gid[lo:hi][stored_here])
                     store_vecs.append(x[lo:hi][stored_here])
+                    store_first += b.column(6).slice(lo, hi - lo).filter(pa.array(stored_here)).to_pylist()
                     ids = None
                 if stored_here.all() or not store_ids:
                     continue
                 if ids is None:
-                    ids, vecs = np.concatenate(store_ids), np.concatenate(store_vecs)
+                    # Sorted by smallest id, so that of equal similarities the first are kept.
+                    order = np.array(sorted(range(len(store_first)), key=store_first.__getitem__))
+                    ids, vecs, first = np.concatenate(store_ids)[order], np.concatenate(store_vecs)[order], np.array(store_first, dtype=object)[order]
                 q, qid = x[lo:hi][~stored_here], gid[lo:hi][~stored_here]
                 for at in range(0, len(q), 256):
-                    sims = q[at : at + 256] @ vecs.T
+                    sims = np.round(q[at : at + 256] @ vecs.T, 12)
                     sims[qid[at : at + 256][:, None] == ids[None, :]] = -2
                     keep = min(cfg.k + 5, sims.shape[1])
-                    top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-                    s = np.take_along_axis(sims, top, 1)
-                    r, c = np.nonzero((s >= cfg.least - 1e-5) & (s > -1.5))
+                    least = np.partition(sims, -keep, axis=1)[:, -keep, None]
+                    above, level = sims > least, sims == least
+                    level &= np.cumsum(level, axis=1) <= keep - above.sum(1, keepdims=True)
+                    r, c = np.nonzero((above | level) & (sims >= cfg.least - 1e-5) & (sims > -1.5))
                     if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(r), pa.string()), pa.array(qid[at : at + 256][r]), pa.array(ids[top[r, c]]), pa.array(s[r, c].astype(np.float32))], names=["space", "gid", "other", "s"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key[0]] * len(r), pa.string()), pa.array(qid[at : at + 256][r]), pa.array(ids[c]), pa.array(sims[r, c]), pa.array(first[c], pa.string())],
+                            names=["space", "gid", "other", "s", "first"],
+                        )
 
-    met = both.repartition(tasks, "space", "leaf", "block").sortWithinPartitions("space", "leaf", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s float")
-    near = scratch.save(_best(met, cfg.k + 5), "near")
+    met = both.repartition(tasks, "space", "leaf", "block").sortWithinPartitions("space", "leaf", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s double, first string")
+    near = scratch.save(_best(met, cfg.k + 5, "first"), "near")
     a = base.select(F.col("space"), F.col("gid"), F.col("vec").alias("va"))
     b = base.select(F.col("space").alias("so"), F.col("gid").alias("other"), F.col("vec").alias("vb"))
     exact = near.select("space", "gid", "other").join(a, ["space", "gid"]).join(b, (F.col("space") == F.col("so")) & (near["other"] == b["other"]))

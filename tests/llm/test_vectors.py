@@ -60,3 +60,13 @@ def test_one_direction_holds_most_rows(spark):
     rows = [(f"v{i:03}", "m", v.tolist()) for i, v in enumerate(x)] + [(f"hot{i:04}", "m", (x[0] * (i + 1)).tolist()) for i in range(600)]
     got = run(spark, rows, cfg)
     assert got["hot0599"] == ["hot0000", "hot0001", "hot0002"] and got["hot0000"] == ["hot0001", "hot0002", "hot0003"] and got["v000"] == ["hot0000", "hot0001", "hot0002"]
+
+
+@pytest.mark.parametrize("jitter", [1e-8, 1e-5])
+def test_near_copies_closer_than_single_precision(spark, jitter):
+    cfg = Similar(k=5, least=0.8, dims=16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=16) + jitter * rng.normal(size=(300, 16))
+    ids = [f"v{i:04}" for i in rng.permutation(300)]
+    got, want = run(spark, [(i, "m", v.tolist()) for i, v in zip(ids, x)], cfg), brute(ids, x, cfg)
+    assert sum(len(set(got[i]) & set(w)) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
