@@ -40,11 +40,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_table(table(spark, d, "documents"), VOCABULARY)
 
 
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "curated_queries").select(F.col("query_id").alias("item_id"), F.col("passage").alias("text"))
+    found = leaks(table(spark, d, "documents"), items, Scratch(spark, "leakage"), Leak(window=16, edits=1))
+    return found.select("doc_id", F.col("item_id").alias("query_id"), "edits")
+
+
 @R.query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "curated_queries").select(F.col("query_id").alias("item_id"), F.col("passage").alias("text"))
-    found = leaks(table(spark, d, "documents"), items, Leak(window=16, edits=1))
-    return found.where("edits = 0").select("doc_id", F.col("item_id").alias("query_id"))
+    return _leaked(spark, d).where("edits = 0").drop("edits")
+
+
+@R.query("p8_edited")
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Passages held with at most one word replaced, inserted or deleted."""
+    return _leaked(spark, d)
 
 
 @R.query("p9_found")

@@ -1,7 +1,11 @@
 import random
 
-from lexloom.llm.leakage import Items, Leak, leaks
+import numpy as np
+import pytest
+
+from lexloom.llm.leakage import EDITS, Items, Leak, edited, leaks
 from lexloom.llm.words import words
+from lexloom.tables import Scratch
 
 
 def brute(docs, items, w):
@@ -35,7 +39,7 @@ def made(seed):
 def run(spark, docs, items, cfg):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     q = spark.createDataFrame(items, "item_id string, text string")
-    return {(r.doc_id, r.item_id): r.edits for r in leaks(d, q, cfg).collect()}
+    return {(r.doc_id, r.item_id): r.edits for r in leaks(d, q, Scratch(spark, "t"), cfg).collect()}
 
 
 def test_exact_runs_are_all_found(spark):
@@ -46,16 +50,70 @@ def test_exact_runs_are_all_found(spark):
     assert {k for k, e in got.items() if e == 0} == want
 
 
-def test_edited_windows_reach_the_recall(spark):
+def changed(ws, kind, rng):
+    k = rng.randrange(len(ws))
+    return ws[:k] + (["edited"] if kind != "delete" else []) + ws[k + (kind != "insert") :]
+
+
+def nearest(ws, window):
+    """Fewest edits between the window and any run of words, by the plain table."""
+    above = [0] * (len(ws) + 1)
+    for i, w in enumerate(window, 1):
+        row = [i]
+        for j, x in enumerate(ws, 1):
+            row.append(min(above[j - 1] + (x != w), above[j] + 1, row[-1] + 1))
+        above = row
+    return min(above)
+
+
+@pytest.mark.parametrize("kind", EDITS)
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_windows_reach_the_recall(spark, kind, edits):
     rng = random.Random(2)
-    items = [(f"q{i}", " ".join(f"{rng.random()}".replace(".", "x") for _ in range(20))) for i in range(100)]
+    items = [(f"q{i}", " ".join(f"{rng.random()}".replace(".", "x") for _ in range(rng.randrange(16, 24)))) for i in range(300)]
     docs = []
     for k, (_, t) in enumerate(items):
         ws = words(t)[:16]
-        ws[rng.randrange(16)] = "edited"
-        docs.append((k, " ".join(ws)))
-    got = run(spark, docs, items, Leak(window=16, edits=1, recall=0.9))
-    assert sum((k, f"q{k}") in got for k in range(100)) >= 80 and set(got.values()) == {1}
+        for _ in range(edits):
+            ws = changed(ws, kind, rng)
+        docs.append((k, " ".join(["before"] * rng.randrange(3) + ws + ["after"] * rng.randrange(3))))
+    got = run(spark, docs, items, Leak(window=16, edits=edits, recall=0.9))
+    assert sum((k, f"q{k}") in got for k in range(300)) >= 270
+    for (d, q), e in got.items():
+        ws, item = words(docs[d][1]), words(items[int(q[1:])][1])
+        assert e == min(nearest(ws, item[k : k + 16]) for k in range(len(item) - 15))
+
+
+def test_edits_in_dense_texts_are_exact(spark):
+    """Every row found has its true number of edits, and few true rows are missed."""
+    rng = random.Random(5)
+    items = [(f"q{i}", " ".join(rng.choice("abcdefgh") for _ in range(20))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        ws = words(rng.choice(items)[1])
+        docs.append((d, " ".join(changed(ws, rng.choice(EDITS), rng)[rng.randrange(3) :])))
+    want = {}
+    for d, t in docs:
+        for q, i in items:
+            e = min(nearest(words(t), words(i)[k : k + 16]) for k in range(5))
+            if e <= 1:
+                want[d, q] = e
+    got = run(spark, docs, items, Leak(window=16, edits=1))
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and all(got[k] >= want[k] for k in got)
+
+
+def test_recall_that_no_table_gives_is_an_error():
+    items = [("q", " ".join(f"w{i}" for i in range(30)))]
+    assert Items(items, Leak(edits=4)).recall >= 0.9
+    with pytest.raises(ValueError):
+        Items(items, Leak(window=3, edits=2, recall=1.0))
+
+
+def test_edited_copies():
+    rows = np.arange(1, 13).reshape(2, 6)
+    rng = np.random.default_rng(1)
+    assert edited(rows, "insert", 2, rng).shape == (2, 8) and edited(rows, "delete", 1, rng).shape == (2, 5) and (edited(rows, "replace", 1, rng) == 0).sum() == 2
+    assert [r[r > 0].tolist() for r in edited(rows, "insert", 2, rng)] == rows.tolist()
 
 
 def test_blocks_nulls_and_repeats(spark):
