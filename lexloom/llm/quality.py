@@ -8,6 +8,7 @@ readable text from debris.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,12 +33,12 @@ _SECTION = re.compile(r"\s*(?:§+|(?:sec|section|chapter|ch|art|article|artícul
 _LEADER = re.compile(r"\S.*?(?:\.\s?){4,}\s*[\divxlc-]+\s*$|\S.*?_{4,}\s*\d*\s*$", re.I)
 _REFERENCES = re.compile(r"\s*\S[^,;]*(?:[,;]\s*§?\s*[A-Z]?\d+(?:[-.–:]\d+)+(?:\(\w+\))*)+\s*$")
 _NUMBERED = re.compile(r"\s*\d+(?:[-.]\d+)+\.?\s+\S")
-_SENTENCE_END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
+_ENDS = (".", "!", "?", ":", ";", "…")
+_NEW_SENTENCE = re.compile(r"[.!?]\s+[A-ZÁÉÍÓÚÀÂÇÉÈÊ]")
 _FULL_STOP = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
 _TAGS = re.compile(r"<[^<>\n]{0,300}>")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ]", re.I)
 _CODE = re.compile(r"[{}]|\)\s*;|\w\s*=\s*\w|=>|\bfunction\b|\breturn\b|://|</")
-_RULE = re.compile(r"[\s|:+=\-–—_.*#~]+$")
 _BROKEN = re.compile("[�■□]|[ÃÂâ](?=[\u0080-¿€™œž‘-•˜…])|[\u0000-\u0008\u000e-\u001f\u007f]")
 
 
@@ -58,6 +59,11 @@ class Quality:
     #: repetition alone tell junk.
     least_share: float = 0.0005
     few: int = 50
+    #: A word is also readable that this share of the texts of one language hold, five at least: as
+    #: other languages grow, it stays so. A language is the first two letters of its code, and counts
+    #: from this share of all texts on, so that there are at most 1 / ``language`` of them.
+    language_share: float = 0.01
+    language: float = 0.001
 
 
 def _fields(line: str, sign: str) -> list[str]:
@@ -75,7 +81,9 @@ def _short(fields: list[str]) -> bool:
 def _columns(lines: list[str]) -> tuple[np.ndarray, float]:
     """Which lines are rows of columns, and how well their delimiters align."""
     best, best_align = np.zeros(len(lines), bool), 0.0
-    for sign in ("|", "\t", "  ", ";", ","):
+    for sign, least in (("|", 1), ("\t", 1), ("  ", 1), (";", 2), (",", 2)):
+        if sum(x.count(sign) >= least or sign == "  " and "\t" in x for x in lines) < 2:
+            continue
         split = [_fields(x, sign) for x in lines]
         n = np.array([len(f) - 1 for f in split])
         fit = np.array([k >= 1 and _short(f) for k, f in zip(n, split)])
@@ -104,21 +112,41 @@ def _columns(lines: list[str]) -> tuple[np.ndarray, float]:
     return best, best_align
 
 
-def _entry(line: str) -> bool:
-    """One entry of an enumeration, a table of contents or an index."""
-    if _LEADER.match(line) or _REFERENCES.match(line):
+def _entry(line: str, points: bool) -> bool:
+    """One entry of an enumeration, a table of contents or an index; ``points`` tells that the line
+    has a leader or references."""
+    if points:
         return True
     m = _MARK.match(line) or _NUMBERED.match(line)
     words_ = len(line.split())
     if m:
         rest = line[m.end():] if m.re is _MARK else line
         # Lettered paragraphs of whole sentences are prose.
-        return words_ <= 14 and not (words_ > 7 and _FULL_STOP.search(rest)) and len(re.findall(r"[.!?]\s+[A-ZÁÉÍÓÚÀÂÇÉÈÊ]", rest)) == 0
-    if _SECTION.match(line):
-        return words_ <= 14 and not (words_ > 10 and _FULL_STOP.search(line))
+        return words_ <= 14 and not (words_ > 7 and _FULL_STOP.search(rest)) and not _NEW_SENTENCE.search(rest)
+    if words_ <= 14 and _SECTION.match(line):
+        return not (words_ > 10 and _FULL_STOP.search(line))
     return False
 
 
+class _Kinds(dict):
+    """What each word is, remembered up to a bound: 1 for more than digits, 2 for letters only, 4
+    for letters with a vowel."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        k = self[w] = (not w.isdigit()) + (w.isalpha() and 2 + 4 * bool(_VOWEL.search(w)))
+        return k
+
+
+_KIND = _Kinds()
+
+
+def _ends(line: str) -> bool:
+    """Whether a line ends like a sentence."""
+    return line.rstrip().rstrip("\"'”’»)]")[-1:] in _ENDS
+
+
 def _autocorrelation(x: np.ndarray) -> float:
     """Largest autocorrelation at the periods 1 to 4."""
     if len(x) < 6:
@@ -143,7 +171,7 @@ def _periodic(lines: list[str], size: np.ndarray, indent: np.ndarray) -> tuple[n
     """
     n, none = len(lines), np.zeros(len(lines), bool)
     words_ = np.array([len(x.split()) for x in lines])
-    ends = np.array([bool(_SENTENCE_END.search(x)) for x in lines], bool)
+    ends = np.array([_ends(x) for x in lines], bool)
     lower = np.array([x.lstrip()[0].islower() for x in lines], bool)
     # Lower-case lines go on with a sentence, unless all are single names or indentation repeats.
     names = lower.mean() >= 0.9 and words_.mean() <= 3 or indent.std() > 0 and _autocorrelation(indent) >= 0.6
@@ -164,37 +192,37 @@ def _periodic(lines: list[str], size: np.ndarray, indent: np.ndarray) -> tuple[n
 def describe(text: str | None, readable: set[str], common: set[str]) -> dict[str, float]:
     text = text or ""
     ws = WORD.findall(text.lower())
+    counts, letters = Counter(ws), sum(map(len, ws))
+    kinds = [(_KIND[w], n) for w, n in counts.items()]
     lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
-    solid = [c for c in text if not c.isspace()]
-    n_solid = max(1, len(solid))
-    symbols = sum(not c.isalnum() for c in solid)
-    rows, align = _columns(lines) if lines else (np.zeros(0, bool), 0.0)
-    listed = np.array([_entry(x) for x in lines], bool)
-    references = np.array([bool(_REFERENCES.match(x)) for x in lines], bool)
-    leaders = np.array([bool(_LEADER.match(x)) for x in lines], bool)
+    solid = sum(map(len, text.split()))
+    n_solid = max(1, solid)
+    rows, align = _columns(lines) if len(lines) > 1 else (np.zeros(len(lines), bool), 0.0)
+    leaders = [("." in x or "_" in x) and bool(_LEADER.match(x)) for x in lines]
+    references = [("," in x or ";" in x) and bool(_REFERENCES.match(x)) for x in lines]
+    points = [a or b for a, b in zip(leaders, references)]
+    listed = np.array([_entry(x, p) for x, p in zip(lines, points)], bool)
     size = np.array([len(x) for x in lines], float)
     indent = np.array([len(x) - len(x.lstrip()) for x in lines], float)
-    odd = len(_BROKEN.findall(text)) + sum(len(m) for m in _TAGS.findall(text))
-    if listed.sum() and (references | leaders).sum() >= 0.5 * listed.sum():
-        rows &= ~listed
-    elif rows.sum() > listed.sum():
+    odd = len(_BROKEN.findall(text)) + (sum(map(len, _TAGS.findall(text))) if "<" in text else 0)
+    if rows.sum() > listed.sum() and sum(points) < 0.5 * listed.sum() or not listed.any():
         listed &= ~rows
     else:
         rows &= ~listed
     n = max(1, len(lines))
     period_rows, period_entries, period = _periodic(lines, size, indent) if len(lines) >= 6 else (rows & False, rows & False, 0.0)
+    known = [w for w in counts.keys() & readable if _KIND[w] & 1]
     return {
-        "n_words": len(ws), "mean_word_length": sum(map(len, ws)) / max(1, len(ws)), "symbol_ratio": symbols / n_solid,
-        "line_end_ratio": sum(bool(_SENTENCE_END.search(x)) for x in lines) / n,
-        "common_ratio": sum(w in common for w in ws) / max(1, len(ws)), "n_lines": len(lines), "distinct_ratio": len(set(ws)) / max(1, len(ws)),
+        "n_words": len(ws), "mean_word_length": letters / max(1, len(ws)), "symbol_ratio": max(0, solid - letters) / n_solid,
+        "line_end_ratio": sum(map(_ends, lines)) / n,
+        "common_ratio": sum(counts[w] for w in counts.keys() & common) / max(1, len(ws)), "n_lines": len(lines), "distinct_ratio": len(counts) / max(1, len(ws)),
         "row_ratio": float(rows.sum()) / n, "entry_ratio": float(listed.sum()) / n, "alignment": align,
         "indent_period": _autocorrelation(indent) if indent.any() else 0.0, "length_autocorrelation": max(_autocorrelation(size), _near_lengths(size)),
         "odd_ratio": odd / n_solid,
-        "readable_ratio": sum(w in readable for w in ws if not w.isdigit()) / max(1, sum(not w.isdigit() for w in ws)),
-        "vowel_ratio": sum(bool(_VOWEL.search(w)) for w in ws if w.isalpha()) / max(1, sum(w.isalpha() for w in ws)),
+        "readable_ratio": sum(counts[w] for w in known) / max(1, sum(c for k, c in kinds if k & 1)),
+        "vowel_ratio": sum(c for k, c in kinds if k & 4) / max(1, sum(c for k, c in kinds if k & 2)),
         "code_ratio": sum(bool(_CODE.search(x)) for x in lines) / n,
-        "line_copies": 1 - len({re.sub(r"[0-9]+", "0", x.strip()) for x in lines}) / n,
-        "long_ratio": sum(len(w) for w in ws if len(w) > 30) / n_solid,
+        "long_ratio": sum(len(w) * c for w, c in counts.items() if len(w) > 30) / n_solid,
         "laid_out": float(size[rows | listed].sum() / size.sum()) if lines else 0.0,
         "period": period, "period_rows": float(period_rows.sum()) / n, "period_entries": float(period_entries.sum()) / n,
         "period_chars": float(size[period_rows | period_entries].sum() / size.sum()) if lines else 0.0,
@@ -227,18 +255,26 @@ def text_statistics(docs: DataFrame, cfg: Quality = Quality()) -> DataFrame:
     """``doc_id``, the statistics of ``STATS`` and ``kind`` for every row of ``docs (doc_id, text, ...)``.
 
     Null, empty and blank texts have zeros and kind ``prose``. Whole texts are read. Readable and
-    common words are counted over all distinct texts, so copies count once. No number of words caps
-    the readable: at most (distinct words in a text, on average) / ``least_share`` can have the share.
-    Repeated rows come out as often as they go in.
+    common words are counted over all distinct texts, so copies count once; where there is a column
+    ``lang``, readable words are also counted by language. No number of words caps the readable: at
+    most (distinct words in a text, on average) / ``least_share`` can have the share, and as many by
+    ``language_share`` in each language. Repeated rows come out as often as they go in.
     """
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"), "doc_id")
-    texts = docs.select("text").where("text is not null").distinct()
-    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).where("w rlike '[^0-9]'")
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2)) if "lang" in docs.columns else F.lit(None).cast("string")
+    # One language is kept for each distinct text.
+    texts = docs.where("text is not null").groupBy("text").agg(F.min(lang).alias("lang"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    held = texts.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(tokens).alias("w")).where("w rlike '[^0-9]'").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(math.ceil(1 / cfg.language)).collect()}
     n_texts = texts.count()
     least = 1 if n_texts < cfg.few else max(2, cfg.least_share * n_texts)
-    known = [r[0] for r in held.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()]
-    shared = spark.sparkContext.broadcast((set(known), set(known[: cfg.common])))
+    own = [(k, max(5.0, cfg.language_share * n)) for k, n in sizes.items() if k and n >= cfg.language * n_texts]
+    held = held.join(F.broadcast(spark.createDataFrame(own, "lang string, own double")), "lang", "left")
+    words = held.groupBy("w").agg(F.sum("n").alias("n"), F.max(F.coalesce(F.col("n") >= F.col("own"), F.lit(False))).alias("own"))
+    known = [tuple(r) for r in words.where((F.col("n") >= least) | F.col("own")).orderBy(F.desc("n"), "w").select("w").collect()]
+    shared = spark.sparkContext.broadcast(({w for (w,) in known}, {w for (w,) in known[: cfg.common]}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readable, common = shared.value

@@ -57,3 +57,37 @@ def test_readable_words_are_counted_over_distinct_texts(spark):
 def test_texts_too_few_to_tell_readable_words(spark):
     df = spark.createDataFrame([(1, PROSE), (2, "Another wall stands by the pool."), (3, "zzq " * 30)], "doc_id long, text string")
     assert {r.doc_id: r.kind for r in text_statistics(df).collect()} == {1: "prose", 2: "prose", 3: "junk"}
+
+
+BY_INDENT = "\n".join(f"{x}\n    near the clerk {'of the general uses ' * (i % 3)}\n    no fees{' for the pool' * (i % 2)}" for i, x in enumerate(NAMES))
+BY_LENGTH = "\n".join(f"{x}\nNear the clerk of the general" for x in ("Shed", "Wall", "Pool", "Zone", "Lots", "Uses", "Fees", "Side"))
+ALIGNED = ONLY_LAYOUT["table"][0]
+
+
+@pytest.mark.parametrize("signal,text", [("indent", BY_INDENT), ("length", BY_LENGTH), ("alignment", ALIGNED)])
+def test_each_layout_signal_decides(signal, text, monkeypatch):
+    """Without the one signal the text is no list or table any more."""
+    from lexloom.llm import quality
+
+    known = KNOWN | {"near", "the", "clerk", "no", "of", "for", "lots"}
+    kind = classify(describe(text, known, known), Quality())
+    assert kind == ("table" if signal == "alignment" else "list")
+    plain = quality._periodic
+    if signal == "indent":
+        monkeypatch.setattr(quality, "_periodic", lambda lines, size, indent: plain(lines, size, indent * 0))
+    elif signal == "length":
+        monkeypatch.setattr(quality, "_autocorrelation", lambda x: 0.0)
+    else:
+        monkeypatch.setattr(quality, "_periodic", lambda lines, size, indent: plain([x.replace(" ", " " * (1 + i % 3), 1) for i, x in enumerate(lines)], size, indent))
+    assert classify(describe(text, known, known), Quality()) != kind
+
+
+def test_readable_words_of_a_language_stay_so_as_others_grow(spark):
+    own = ["la piscina no podrá ser reparada cerca de la escuela " + x for x in ("norte", "sur", "este", "oeste", "vieja", "nueva")]
+    docs = [(i, f"{PROSE} Permit {i}.", "en") for i in range(300)] + [(1000 + i, x, "ES") for i, x in enumerate(own)]
+    docs += [(2000 + i, "uvo xaqe ziro kyle baqu ewo iqua oze vuxa aqyl" + " q" * i, None) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    cfg = Quality(least_share=0.1)
+    got = {r.doc_id: r.kind for r in text_statistics(df, cfg).collect()}
+    assert all(got[1000 + i] == "prose" for i in range(6)) and all(got[2000 + i] == "junk" for i in range(6))
+    assert {r.kind for r in text_statistics(df.drop("lang"), cfg).where("doc_id between 1000 and 1999").collect()} == {"junk"}
