@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.leakage import Leak, leaks
-from lexloom.llm.neardup import NearDup, near_duplicates, spelled_out
+from lexloom.llm.neardup import NearDup, class_links, membership, near_duplicates, spelled_out
 from lexloom.llm.quality import STATS, text_statistics
 from lexloom.llm.scan import read_pages, repaired_text
 from lexloom.llm.tokenizer import encode_table
@@ -26,13 +26,28 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-@R.query("p2_found")
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+SECTIONS = NearDup(similarity=0.6, shingle=3, min_words=40)
+
+
+def _near_sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body_text", F.lit("")))
-    cfg = NearDup(similarity=0.6, shingle=3, min_words=40)
     sections = table(spark, d, "code_sections").select(F.col("entity_id").alias("id"), text.alias("text"))
-    members, links = near_duplicates(sections, Scratch(spark, "neardup"), cfg)
-    return spelled_out(members, links, cfg).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+    return near_duplicates(sections, Scratch(spark, "neardup"), SECTIONS)
+
+
+@R.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spelled_out(*_near_sections(spark, d), SECTIONS).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+
+
+@R.query("p2_members")
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return membership(*_near_sections(spark, d)).withColumnRenamed("id", "entity_id")
+
+
+@R.query("p2_links")
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return class_links(*_near_sections(spark, d))
 
 
 @R.query("p7_ids")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -16,3 +19,16 @@ def scattered(df: DataFrame, key: str) -> DataFrame:
     """``df`` shuffled by ``key`` into at least three tasks a core, which are not merged again."""
     spark = df.sparkSession
     return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+@contextmanager
+def partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Joins and groupings that run inside have at least ``n`` partitions. Unlike a repartitioning by
+    hand, adaptive execution may still split those of hot keys, and merge small ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(n, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
