@@ -2,16 +2,19 @@
 
 A tree of k-means centres is grown on a bounded sample, its leaves are settled by a few rounds of
 k-means over all of them, and every row is filed under the leaf of the nearest centre. Each query
-walks the tree best bin first: a priority queue holds the branches seen so far, by the nearest leaf
-centre below them, and yields leaves in that order. How many leaves a query visits is calibrated: exact
+walks the tree best bin first: a priority queue holds the branches seen so far by the angle to their
+centre, less a share of how far their leaves spread, and only the branch at its head is opened.
+Branches that hold no row within the asked similarity are never opened: every node knows the widest
+angle between its centre and a row below it. How many leaves a query visits is calibrated: exact
 neighbours of sampled queries are found by brute force over all rows, and the number of visits is
-widened until the wanted share of them lies in visited leaves. Leaves whose bound excludes the
-asked similarity are skipped, as no row of theirs can count.
+widened until the wanted share of them lies in visited leaves. A query travels once to each cell, a
+branch of a few leaves, with the list of leaves it visits there.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,10 @@ class Similar:
     most_leaves: int = 4096
     #: Queries of the calibration, of all spaces together.
     calibrate: int = 256
+    #: Share of the spread of a branch's leaves by which it is taken to be nearer than its centre.
+    boundary: float = 0.4
+    #: Rows of a cell, the branch whose leaves are searched in one place.
+    cell_rows: int = 1_600
     #: Rows of a leaf compared at once; a leaf of more is split into blocks.
     block: int = 4_000
 
@@ -76,14 +83,38 @@ class Tree:
                 heapq.heappush(heap, (-len(own), kid, own))
         for i, node in enumerate(sorted(done)):
             self.leaf[node] = i
-        self.n_leaves = len(done)
-        self.leaf_centre = np.stack(centre)[sorted(done)]
+        self.n_leaves, self.leaf_node = len(done), np.array(sorted(done))
+        self.leaf_centre = np.stack(centre)[self.leaf_node]
         for _ in range(2 if self.n_leaves > 1 else 0):
             own = (sample @ self.leaf_centre.T).argmax(1)
             c = np.zeros_like(self.leaf_centre)
             np.add.at(c, own, sample)
             size = np.linalg.norm(c, axis=1, keepdims=True)
             self.leaf_centre = np.where(size > 0, c / np.where(size > 0, size, 1), self.leaf_centre)
+        self._settle(np.stack(centre))
+
+    def _settle(self, centre: np.ndarray) -> None:
+        """Centres of branches from those of their leaves, and how far these spread. Children of a
+        node stand side by side, after their parent."""
+        n, sums = len(centre), np.zeros_like(centre)
+        self.parent, self.spread = np.full(n, -1), np.zeros(n)
+        for node, kids in enumerate(self.kids):
+            self.parent[kids] = node
+        sums[self.leaf_node] = self.leaf_centre
+        for node in range(n - 1, 0, -1):
+            sums[self.parent[node]] += sums[node]
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        self.centre = np.where(size > 0, sums / np.where(size > 0, size, 1), centre)
+        self.paths = []
+        for leaf, node in enumerate(self.leaf_node):
+            path = [node]
+            while self.parent[path[-1]] >= 0:
+                path.append(self.parent[path[-1]])
+            self.paths.append(path[::-1])
+            for up in path[1:]:
+                cos = float(np.clip(self.centre[up] @ self.leaf_centre[leaf], -1, 1))
+                self.spread[up] = max(self.spread[up], np.arccos(cos))
+        self.depth = max(map(len, self.paths))
 
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -97,44 +128,65 @@ class Tree:
         return [(c[j], x[own == j]) for j in range(k) if (own == j).any()]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf of each row, and its cosine with the leaf's centre."""
-        leaf, cos = np.zeros(len(x), np.int32), np.ones(len(x))
+        """Leaf of each row, and its cosine with the centres from the root to the leaf (which fills
+        the places below it)."""
+        leaf, cos = np.zeros(len(x), np.int32), np.ones((len(x), self.depth))
+        table = np.array([p + [p[-1]] * (self.depth - len(p)) for p in self.paths])
         for lo in range(0, len(x), 2000):
-            sims = x[lo : lo + 2000] @ self.leaf_centre.T
-            leaf[lo : lo + 2000] = sims.argmax(1)
-            cos[lo : lo + 2000] = sims.max(1)
+            part = x[lo : lo + 2000]
+            leaf[lo : lo + 2000] = (part @ self.leaf_centre.T).argmax(1)
+            for level in range(self.depth):
+                cos[lo : lo + 2000, level] = np.einsum("ij,ij->i", part, self.centre[table[leaf[lo : lo + 2000], level]])
         return leaf, cos
 
-    def bounds(self, leaf_sims: np.ndarray) -> np.ndarray:
-        """For each query (row) and node, the largest cosine of a leaf centre below the node."""
-        out = np.full((len(leaf_sims), len(self.kids)), -2.0)
-        for node in range(len(self.kids) - 1, -1, -1):
-            out[:, node] = leaf_sims[:, self.leaf[node]] if self.leaf[node] >= 0 else out[:, self.kids[node]].max(1)
+    def fill(self, leaves: np.ndarray, n: np.ndarray, cos: np.ndarray) -> None:
+        """Takes in, for each leaf with rows, their number and their least cosine by level."""
+        self.rows, self.radius = np.zeros(len(self.kids), np.int64), np.zeros(len(self.kids))
+        for leaf, k, least in zip(leaves, n, np.arccos(np.clip(cos, -1, 1))):
+            for level, node in enumerate(self.paths[leaf]):
+                self.rows[node] += k
+                self.radius[node] = max(self.radius[node], least[level])
+
+    def cells(self, most: int) -> np.ndarray:
+        """For each leaf the highest branch above it of at most ``most`` rows, or the leaf itself."""
+        return np.array([next((v for v in p if self.rows[v] <= most), p[-1]) for p in self.paths])
+
+    def walk(self, x: np.ndarray, visits: int, cfg: Similar) -> list[list[int]]:
+        """Leaves that each query (a row) visits, best bin first. Queries that open the same branch at
+        the same time compare with its children together."""
+        limit, serial = np.arccos(cfg.least) + 1e-4, 0
+        heaps: list[list] = [[] for _ in range(len(x))]
+        out: list[list[int]] = [[] for _ in range(len(x))]
+        if self.leaf[0] >= 0:
+            return [[0] if self.rows[0] else [] for _ in range(len(x))]
+        todo = {0: list(range(len(x)))}
+        while todo:
+            then: dict[int, list[int]] = defaultdict(list)
+            for node, who in todo.items():
+                a, b = self.kids[node][0], self.kids[node][-1] + 1
+                angle = np.arccos(np.clip(x[who] @ self.centre[a:b].T, -1, 1))
+                key = np.where((angle - self.radius[a:b] > limit) | (self.rows[a:b] == 0), np.inf, angle - cfg.boundary * self.spread[a:b])
+                order = np.argsort(key, axis=1, kind="stable")
+                for q, keys, kids in zip(who, np.take_along_axis(key, order, 1).tolist(), (order + a).tolist()):
+                    serial += 1
+                    if keys[0] < np.inf:
+                        heapq.heappush(heaps[q], (keys[0], serial, 0, keys, kids))
+            for q in [q for who in todo.values() for q in who]:
+                heap, mine = heaps[q], out[q]
+                while heap and len(mine) < visits:
+                    _, tie, at, keys, kids = heap[0]
+                    if at + 1 < len(keys) and keys[at + 1] < np.inf:
+                        heapq.heapreplace(heap, (keys[at + 1], tie, at + 1, keys, kids))
+                    else:
+                        heapq.heappop(heap)
+                    leaf = self.leaf[kids[at]]
+                    if leaf < 0:
+                        then[kids[at]].append(q)
+                        break
+                    mine.append(leaf)
+            todo = then
         return out
 
-    def walk(self, bound: np.ndarray, visits: int) -> list[int]:
-        """Leaves in best-bin-first order, from one query's bounds; none where the bound is -2."""
-        heap, out = ([(-bound[0], 0)] if bound[0] > -1.5 else []), []
-        while heap and len(out) < visits:
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                out.append(self.leaf[node])
-                continue
-            for kid in self.kids[node]:
-                if bound[kid] > -1.5:
-                    heapq.heappush(heap, (-bound[kid], kid))
-        return out
-
-
-def _visit(tree: Tree, x: np.ndarray, reach: tuple[np.ndarray, np.ndarray], visits: int, cfg: Similar) -> Iterator[list[int]]:
-    """Leaves that each query visits. A leaf is skipped when the angle to its centre exceeds that
-    of the asked similarity by more than the leaf's own radius."""
-    sims = x @ tree.leaf_centre.T.astype(x.dtype)
-    far = np.arccos(np.clip(sims, -1, 1)) - np.arccos(np.clip(reach[0], -1, 1))[None, :]
-    open_ = (far <= np.arccos(cfg.least) + 1e-4) & (reach[1] > 0)[None, :]
-    for bound in tree.bounds(np.where(open_, sims, -2.0)):
-        yield tree.walk(bound, visits)
-
 
 def _unit(b: pa.RecordBatch, col: int) -> np.ndarray:
     a = b.column(col)
@@ -157,7 +209,7 @@ def _best(met: DataFrame, n: int, tie: str = "other") -> DataFrame:
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
-def _calibrate(filed: DataFrame, trees: dict, reach: dict, cfg: Similar) -> dict[str, int]:
+def _calibrate(filed: DataFrame, trees: dict[str, Tree], cfg: Similar) -> dict[str, int]:
     """Leaves to visit in each space: widened until the neighbours found by brute force for the
     sampled queries are in visited leaves to the wanted share."""
     spark = filed.sparkSession
@@ -189,7 +241,7 @@ def _calibrate(filed: DataFrame, trees: dict, reach: dict, cfg: Similar) -> dict
         visits = tree.n_leaves
         if s in queries:
             qid, q = queries[s]
-            order = {g: {leaf: i for i, leaf in enumerate(o)} for g, o in zip(qid, _visit(tree, q, reach[s], tree.n_leaves, cfg))}
+            order = {g: {leaf: i for i, leaf in enumerate(o)} for g, o in zip(qid, tree.walk(q, tree.n_leaves, cfg))}
             mine = true[true["space"] == s]
             place = np.array([order[g].get(leaf, tree.n_leaves) for g, leaf in zip(mine["gid"], mine["leaf"])])
             visits = 2
@@ -246,105 +298,129 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     trees = _grow(base, cfg, total)
     shared = spark.sparkContext.broadcast(trees)
 
+    deep = max([1, *(t.depth for t in trees.values())])
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, spaces = _unit(b, 2), np.array(b.column(0).to_pylist(), dtype=object)
-            leaf, cos = np.zeros(len(x), np.int32), np.full(len(x), -1.0)
+            leaf, cos = np.zeros(len(x), np.int32), np.ones((len(x), deep))
             for s in set(spaces):
                 if s in shared.value:
-                    at = spaces == s
-                    leaf[at], cos[at] = shared.value[s].assign(x[at])
-            v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cfg.dims), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), v, pa.array(leaf), pa.array(cos), b.column(3)], names=["space", "gid", "v", "leaf", "cos", "first"])
-
-    filed = scratch.save(spread(base.select("space", "gid", "vec", "first"), "gid").mapInArrow(file, "space string, gid bigint, v array<double>, leaf int, cos double, first string"), "filed")
-    sizes = filed.where(F.col("space").isin(list(trees))).groupBy("space", "leaf").agg(F.count("*").alias("n"), F.min("cos").alias("cos")).toPandas()
-    reach = {s: (np.ones(t.n_leaves), np.zeros(t.n_leaves, np.int64)) for s, t in trees.items()}
-    for s, leaf, n, cos in sizes.itertuples(index=False):
-        reach[s][0][leaf], reach[s][1][leaf] = cos, n
-    visits = _calibrate(filed, trees, reach, cfg)
-    plan = spark.sparkContext.broadcast((reach, visits))
-
-    def blocks_of(n: int) -> int:
-        return max(1, -(-int(n) // cfg.block))
+                    at = np.flatnonzero(spaces == s)
+                    tree = shared.value[s]
+                    leaf[at], cos[at, : tree.depth] = tree.assign(x[at])
+            rows = np.arange(len(x) + 1, dtype=np.int32)
+            v, c = pa.ListArray.from_arrays(pa.array(rows * cfg.dims), pa.array(x.ravel())), pa.ListArray.from_arrays(pa.array(rows * deep), pa.array(cos.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), v, pa.array(leaf), c, b.column(3)], names=["space", "gid", "v", "leaf", "cos", "first"])
+
+    filed = scratch.save(spread(base.select("space", "gid", "vec", "first"), "gid").mapInArrow(file, "space string, gid bigint, v array<double>, leaf int, cos array<double>, first string"), "filed")
+    sizes = filed.where(F.col("space").isin(list(trees))).groupBy("space", "leaf").agg(F.count("*").alias("n"), *(F.min(F.col("cos")[i]).alias(f"c{i}") for i in range(deep))).toPandas()
+    for s, tree in trees.items():
+        mine = sizes[sizes["space"] == s]
+        tree.fill(mine["leaf"].to_numpy(), mine["n"].to_numpy(), mine[[f"c{i}" for i in range(deep)]].to_numpy())
+    visits = _calibrate(filed, trees, cfg)
+
+    # Where each leaf is searched: its cell, or blocks of its own if it is crowded.
+    places = []
+    for s, tree in trees.items():
+        for leaf, cell in enumerate(tree.cells(cfg.cell_rows)):
+            places.append((s, leaf, int(cell), max(1, -(-int(tree.rows[tree.leaf_node[leaf]]) // cfg.block))))
+    plan = spark.sparkContext.broadcast((trees, visits, {(s, leaf): (cell, n) for s, leaf, cell, n in places}))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every query once for each block of each leaf it visits."""
+        """Every query once for each cell that it visits, with its leaves there."""
+        trees_, visits_, place = plan.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                x, spaces = _unit(b, 2), b.column(0).to_pylist()
-                src, leaf, block = [], [], []
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                x, spaces = _unit(b, 2), np.array(b.column(0).to_pylist(), dtype=object)
+                src, cell, block, leaves = [], [], [], []
                 for s in set(spaces):
-                    at = np.flatnonzero([v == s for v in spaces])
-                    if s not in shared.value:
-                        for i in at:
-                            src.append(i), leaf.append(0), block.append(0)
-                        continue
-                    tree, n = shared.value[s], plan.value[0][s][1]
-                    for i, leaves in zip(at, _visit(tree, x[at], plan.value[0][s], plan.value[1][s], cfg)):
-                        for one in leaves:
-                            for j in range(blocks_of(n[one])):
-                                src.append(i), leaf.append(one), block.append(j)
+                    at = np.flatnonzero(spaces == s)
+                    found = trees_[s].walk(x[at], visits_[s], cfg) if s in trees_ else [[0]] * len(at)
+                    for i, visited in zip(at, found):
+                        here: dict[tuple[int, int], list[int]] = defaultdict(list)
+                        for leaf in visited:
+                            c, n = place.get((s, leaf), (0, 1))
+                            for j in range(n):
+                                here[c, j].append(leaf)
+                        for (c, j), one in here.items():
+                            src.append(i), cell.append(c), block.append(j), leaves.append(one)
                 take = b.take(pa.array(src, pa.int32()))
-                yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(2), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["space", "gid", "v", "leaf", "block"])
-
-    asked = filed.select("space", "gid", "v").mapInArrow(ask, "space string, gid bigint, v array<double>, leaf int, block int")
-    n_of = [(s, i, blocks_of(n)) for s in trees for i, n in enumerate(reach[s][1]) if blocks_of(n) > 1]
-    stored = filed.select("space", "gid", "v", "leaf", "first")
-    if n_of:
-        wide = spark.createDataFrame(n_of, "bs string, bl int, blocks int")
-        stored = stored.join(F.broadcast(wide), (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left")
-        stored = stored.withColumn("block", F.expr("int(pmod(xxhash64(gid), coalesce(blocks, 1)))"))
-    else:
-        stored = stored.withColumn("block", F.lit(0))
+                yield pa.RecordBatch.from_arrays(
+                    [take.column(0), take.column(1), take.column(2), pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                    names=["space", "gid", "v", "cell", "block", "leaves"],
+                )
+
+    asked = filed.select("space", "gid", "v").mapInArrow(ask, "space string, gid bigint, v array<double>, cell int, block int, leaves array<int>")
+    where = F.broadcast(spark.createDataFrame(places, "bs string, bl int, cell int, blocks int"))
+    stored = filed.join(where, (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left").select(
+        "space", "gid", "v", F.coalesce("cell", F.lit(0)).alias("cell"), F.expr("int(pmod(xxhash64(gid), coalesce(blocks, 1)))").alias("block"), F.array("leaf").alias("leaves"), F.lit(False).alias("query"), "first"
+    )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * max([1, *visits.values()]) // 400_000)
-    both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored.select("space", "gid", "v", "leaf", "block", F.lit(False).alias("query"), "first"))
+    both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored)
+    keep = cfg.k + 5
+
+    def best(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row the ``keep`` largest, equal ones (to 12 digits) by column."""
+        r, c = np.nonzero(sims >= max(cfg.least - 1e-5, -1.5))
+        if len(r) > 20 * keep * len(sims):
+            least = np.partition(sims, -min(keep, sims.shape[1]), axis=1)[:, -min(keep, sims.shape[1]), None]
+            r, c = np.nonzero((sims >= least - 2e-12) & (sims >= max(cfg.least - 1e-5, -1.5)))
+        v = np.round(sims[r, c], 12)
+        order = np.lexsort((c, -v, r))
+        r, c, v = r[order], c[order], v[order]
+        first_ = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+        rank = np.arange(len(r)) - np.repeat(first_, np.diff(np.r_[first_, len(r)]))
+        return r[rank < keep], c[rank < keep], v[rank < keep]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by leaf and block, stored rows first."""
-        key, store_ids, store_vecs, store_first = None, [], [], []
-        ids = vecs = first = None
+        """Rows arrive sorted by cell and block, stored rows first."""
+        key, held, ready = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
-            gid, is_query = b.column(1).to_numpy(), b.column(5).to_numpy(zero_copy_only=False)
+            gid, is_query = b.column(1).to_numpy(), b.column(6).to_numpy(zero_copy_only=False)
+            leaves, firsts = b.column(5), b.column(7)
             keys = list(zip(b.column(0).to_pylist(), b.column(3).to_numpy().tolist(), b.column(4).to_numpy().tolist()))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if keys[lo] != key:
-                    key, store_ids, store_vecs, store_first, ids = keys[lo], [], [], [], None
-                stored_here = ~is_query[lo:hi]
-                if stored_here.any():
-                    store_ids.append(gid[lo:hi][stored_here])
-                    store_vecs.append(x[lo:hi][stored_here])
-                    store_first += b.column(6).slice(lo, hi - lo).filter(pa.array(stored_here)).to_pylist()
-                    ids = None
-                if stored_here.all() or not store_ids:
+                    key, held, ready = keys[lo], [], None
+                n = int((~is_query[lo:hi]).sum())
+                if n:
+                    held.append((gid[lo : lo + n], x[lo : lo + n], leaves.slice(lo, n).flatten().to_numpy(), np.array(firsts.slice(lo, n).to_pylist(), dtype=object)))
+                    ready = None
+                if lo + n == hi or not held:
                     continue
-                if ids is None:
+                if ready is None:
                     # Sorted by smallest id, so that of equal similarities the first are kept.
-                    order = np.array(sorted(range(len(store_first)), key=store_first.__getitem__))
-                    ids, vecs, first = np.concatenate(store_ids)[order], np.concatenate(store_vecs)[order], np.array(store_first, dtype=object)[order]
-                q, qid = x[lo:hi][~stored_here], gid[lo:hi][~stored_here]
-                for at in range(0, len(q), 256):
-                    sims = np.round(q[at : at + 256] @ vecs.T, 12)
-                    sims[qid[at : at + 256][:, None] == ids[None, :]] = -2
-                    keep = min(cfg.k + 5, sims.shape[1])
-                    least = np.partition(sims, -keep, axis=1)[:, -keep, None]
-                    above, level = sims > least, sims == least
-                    level &= np.cumsum(level, axis=1) <= keep - above.sum(1, keepdims=True)
-                    r, c = np.nonzero((above | level) & (sims >= cfg.least - 1e-5) & (sims > -1.5))
+                    first = np.concatenate([h[3] for h in held])
+                    order = np.array(sorted(range(len(first)), key=first.__getitem__))
+                    of, slot = np.unique(np.concatenate([h[2] for h in held])[order], return_inverse=True)
+                    ready = np.concatenate([h[0] for h in held])[order], np.concatenate([h[1] for h in held])[order], of, slot, first[order]
+                ids, vecs, of, slot, first = ready
+                for at in range(lo + n, hi, 256):
+                    end = min(at + 256, hi)
+                    asked_, sizes_ = leaves.slice(at, end - at), np.array([len(v) for v in leaves.slice(at, end - at).to_pylist()])
+                    flat = asked_.flatten().to_numpy()
+                    place = np.minimum(np.searchsorted(of, flat), len(of) - 1)
+                    open_ = np.zeros((end - at, len(of)), bool)
+                    open_[np.repeat(np.arange(end - at), sizes_)[of[place] == flat], place[of[place] == flat]] = True
+                    some = np.flatnonzero(open_.any(0)[slot])
+                    sims = np.where(open_[:, slot[some]], x[at:end] @ vecs[some].T, -2.0)
+                    sims[gid[at:end][:, None] == ids[some][None, :]] = -2.0
+                    r, c, v = best(sims)
                     if len(r):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([key[0]] * len(r), pa.string()), pa.array(qid[at : at + 256][r]), pa.array(ids[c]), pa.array(sims[r, c]), pa.array(first[c], pa.string())],
+                            [pa.array([key[0]] * len(r), pa.string()), pa.array(gid[at:end][r]), pa.array(ids[some[c]]), pa.array(v), pa.array(first[some[c]], pa.string())],
                             names=["space", "gid", "other", "s", "first"],
                         )
 
-    met = both.repartition(tasks, "space", "leaf", "block").sortWithinPartitions("space", "leaf", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s double, first string")
+    met = both.repartition(tasks, "space", "cell", "block").sortWithinPartitions("space", "cell", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s double, first string")
     near = scratch.save(_best(met, cfg.k + 5, "first"), "near")
     a = base.select(F.col("space"), F.col("gid"), F.col("vec").alias("va"))
     b = base.select(F.col("space").alias("so"), F.col("gid").alias("other"), F.col("vec").alias("vb"))

@@ -70,3 +70,31 @@ def test_near_copies_closer_than_single_precision(spark, jitter):
     ids = [f"v{i:04}" for i in rng.permutation(300)]
     got, want = run(spark, [(i, "m", v.tolist()) for i, v in zip(ids, x)], cfg), brute(ids, x, cfg)
     assert sum(len(set(got[i]) & set(w)) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_walk_opens_only_near_branches():
+    """Leaves come nearest first, far branches are never compared, and radii keep all within reach."""
+    from lexloom.llm.vectors import Tree
+
+    x = clustered(4000, seed=4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, cfg = Tree(x, 300, 4), Similar(dims=16, least=0.8)
+    leaf, cos = tree.assign(x)
+    every = np.unique(leaf)
+    tree.fill(every, np.bincount(leaf)[every], np.stack([cos[leaf == i].min(0) for i in every]))
+    q = x[:200]
+    opened = []
+    plain = tree.kids
+    tree.kids = type("Counted", (list,), {"__getitem__": lambda self, i: opened.append(i) or list.__getitem__(self, i)})(plain)
+    walked = tree.walk(q, 10, cfg)
+    branches = sum(bool(k) for k in plain)
+    assert len(set(opened)) <= branches and max(map(len, walked)) == 10
+    found = tree.walk(q, tree.n_leaves, cfg)
+    assert np.mean([len(f) for f in found]) < 0.7 * tree.n_leaves
+    for i, f in enumerate(found):
+        near = set(leaf[x @ q[i] >= 0.8].tolist())
+        assert near <= set(f) and len(set(f)) == len(f)
+    angles = np.arccos(np.clip((q[:, None, :] * tree.leaf_centre[[f[0] for f in walked]][:, None, :]).sum(2)[:, 0], -1, 1))
+    best = np.arccos(np.clip((q @ tree.leaf_centre.T).max(1), -1, 1))
+    assert np.mean(angles <= best + 0.2) > 0.9
+    assert set(tree.cells(100)) <= set(range(len(plain))) and all(tree.rows[c] <= 100 or c in tree.leaf_node for c in tree.cells(100))
