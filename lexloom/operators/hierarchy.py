@@ -11,14 +11,36 @@ from lexloom.tables import Scratch
 SIBLING_BLOCKS = 256
 
 
-def _climb(cur: DataFrame, above: list[str], step: dict) -> DataFrame:
-    """One round: every row with a pointer takes ``step`` (columns by name) from the row it points at,
-    whose columns get the prefix ``up_``; settled rows stay as they are and join nothing, so that
-    their null pointers meet in no task."""
-    up = cur.select(F.col("id").alias("up_id"), *(F.col(c).alias(f"up_{c}") for c in above))
-    moving = cur.where("ptr is not null")
-    moved = moving.join(up, moving["ptr"] == up["up_id"], "left").select(*(step[c].alias(c) if c in step else F.col(c) for c in cur.columns))
-    return moved.unionByName(cur.where("ptr is null"))
+class _Climb:
+    """Rows that follow pointers upward, a doubled distance in each round. Rows whose pointer has run
+    out are done: they leave the loop, stay in the tables they were written to, and are only looked
+    up from then on. ``seen`` names the columns that a row takes over from the row it points at."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch, name: str, seen: list[str]):
+        self.scratch, self.name, self.seen, self.round = scratch, name, seen, 0
+        self.parts = [scratch.save(rows, f"{name}0")]
+
+    @property
+    def open(self) -> DataFrame:
+        return self.parts[-1].where("ptr is not null")
+
+    @property
+    def done(self) -> DataFrame:
+        out = self.parts[0].where("ptr is null")
+        for part in self.parts[1:]:
+            out = out.unionByName(part.where("ptr is null"))
+        return out
+
+    def step(self, change: dict, extra: DataFrame | None = None) -> None:
+        """Every open row takes ``change`` (columns by name) from the row it points at, whose columns
+        have the prefix ``up_``; ``extra (xid, ...)`` is joined by id first."""
+        columns = self.parts[0].columns
+        up = self.open.select("id", *self.seen).unionByName(self.done.select("id", *self.seen))
+        up = up.select(F.col("id").alias("up_id"), *(F.col(c).alias(f"up_{c}") for c in self.seen))
+        moving = self.open if extra is None else self.open.join(extra, F.col("id") == F.col("xid"), "left")
+        moved = moving.join(up, F.col("ptr") == F.col("up_id"), "left").select(*(change[c].alias(c) if c in change else F.col(c) for c in columns))
+        self.round += 1
+        self.parts.append(self.scratch.save(moved, f"{self.name}{self.round}"))
 
 
 def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -42,38 +64,43 @@ def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         known.join(ids, known["parent"] == ids["pid"], "left").select("id", F.col("pid").alias("parent")), "base"
     )
 
-    cur = base.select("id", "parent", F.col("parent").alias("ptr"), F.expr("bigint(if(parent is null, 0, 1))").alias("depth"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(1).cast("bigint").alias("size"))
-    cur, k, open_ = scratch.save(cur, "up0"), 0, None
+    first = base.select("id", "parent", F.col("parent").alias("ptr"), F.expr("bigint(if(parent is null, 0, 1))").alias("depth"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(1).cast("bigint").alias("size"))
+    up, open_, late = _Climb(first, scratch, "up", ["ptr", "depth", "root"]), None, []
     while True:
-        left = cur.where("ptr is not null").count()
+        left = up.open.count()
         if left == 0 or left == open_:
             break
         open_ = left
-        gained = cur.where("ptr is not null").groupBy(F.col("ptr").alias("gid")).agg(F.sum("size").alias("gain"))
-        step = {"ptr": F.col("up_ptr"), "depth": F.col("depth") + F.coalesce("up_depth", F.lit(0)), "root": F.col("up_root")}
-        far = _climb(cur, ["ptr", "depth", "root"], step)
-        nxt = far.join(gained, far["id"] == gained["gid"], "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gid", "gain")
-        k += 1
-        cur = scratch.save(nxt, f"up{k}")
-        scratch.drop(f"up{k - 1}")
+        gained = up.open.groupBy(F.col("ptr").alias("xid")).agg(F.sum("size").alias("gain"))
+        # What reaches rows that are done already is added at the end.
+        late.append(scratch.save(gained.join(up.open.select(F.col("id").alias("xid")), "xid", "left_anti"), f"late{len(late)}"))
+        up.step({"ptr": F.col("up_ptr"), "depth": F.col("depth") + F.coalesce("up_depth", F.lit(0)), "root": F.col("up_root"), "size": F.col("size") + F.coalesce("gain", F.lit(0))}, gained)
 
     stuck = None
     if left:
         # The nodes that are a far ancestor of some unsettled node shrink to those on cycles.
-        rest, j = scratch.save(cur.where("ptr is not null").select("id", "ptr"), "rest0"), 0
-        on = rest.select("ptr").distinct().count()
+        rest = _Climb(up.open.select("id", "ptr"), scratch, "rest", ["ptr"])
+        on = rest.open.select("ptr").distinct().count()
         while True:
-            j += 1
-            rest = scratch.save(_climb(rest, ["ptr"], {"ptr": F.col("up_ptr")}), f"rest{j}")
-            scratch.drop(f"rest{j - 1}")
-            now = rest.select("ptr").distinct().count()
+            rest.step({"ptr": F.col("up_ptr")})
+            now = rest.open.select("ptr").distinct().count()
             if now == on:
                 break
             on = now
-        ring = rest.select(F.col("ptr").alias("cid")).distinct()
-        stuck = rest.join(ring, rest["id"] == ring["cid"], "left").select("id", F.expr("if(cid is null, 'below-cycle', 'cycle')").alias("state"))
+        ring = rest.open.select(F.col("ptr").alias("cid")).distinct()
+        stuck = rest.open.join(ring, F.col("id") == F.col("cid"), "left").select("id", F.expr("if(cid is null, 'below-cycle', 'cycle')").alias("state"))
 
-    ok = cur.where("ptr is null").withColumn("block", F.expr(f"pmod(xxhash64(id), {SIBLING_BLOCKS})"))
+    settled = up.done
+    if late:
+        more = late[0]
+        for one in late[1:]:
+            more = more.unionByName(one)
+        more = more.groupBy("xid").agg(F.sum("gain").alias("gain"))
+        settled = settled.join(more, F.col("id") == F.col("xid"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("xid", "gain")
+    settled = scratch.save(settled.drop("ptr"), "settled")
+    for name in ["base", *(f"up{i}" for i in range(up.round + 1)), *(f"late{i}" for i in range(len(late)))]:
+        scratch.drop(name)
+    ok = settled.withColumn("block", F.expr(f"pmod(xxhash64(id), {SIBLING_BLOCKS})"))
     kids = ok.where("parent is not null")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("parent", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("bp").orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -82,16 +109,11 @@ def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         "id", F.col("parent").alias("ptr"), "depth", "root", "size", (F.lit(1) + F.col("inside") + F.col("before")).alias("lft"), F.col("id").alias("path")
     )
     roots = ok.where("parent is null").select("id", F.col("parent").alias("ptr"), "depth", "root", "size", F.lit(0).cast("bigint").alias("lft"), F.col("id").alias("path"))
-    down = scratch.save(placed.unionByName(roots), "down0")
-    scratch.drop(f"up{k}")
-    far, r = down.agg(F.max("depth")).first()[0] or 0, 0
-    while (1 << r) <= far:
-        step = {"ptr": F.col("up_ptr"), "lft": F.col("lft") + F.coalesce("up_lft", F.lit(0)), "path": F.concat_ws(">", "up_path", "path")}
-        nxt = _climb(down, ["ptr", "lft", "path"], step)
-        r += 1
-        down = scratch.save(nxt, f"down{r}")
-        scratch.drop(f"down{r - 1}")
-    out = down.select(
+    down = _Climb(placed.unionByName(roots), scratch, "down", ["ptr", "lft", "path"])
+    far = settled.agg(F.max("depth")).first()[0] or 0
+    while (1 << down.round) <= far:
+        down.step({"ptr": F.col("up_ptr"), "lft": F.col("lft") + F.coalesce("up_lft", F.lit(0)), "path": F.concat_ws(">", "up_path", "path")})
+    out = down.done.select(
         "id", F.lit("ok").alias("state"), F.col("root").alias("root_id"), "depth", (F.col("size") - 1).alias("n_descendants"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt")
     )
     if stuck is not None:
@@ -100,3 +122,28 @@ def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
             stuck.select("id", "state", F.lit("").alias("root_id"), none.alias("depth"), none.alias("n_descendants"), F.lit("").alias("path"), none.alias("lft"), none.alias("rgt"))
         )
     return out
+
+
+def descendants(places: DataFrame, tree: list[str]) -> DataFrame:
+    """``(*tree, ancestor, descendant)`` of all nodes of ``places (*tree, id, lft, rgt)``, columns
+    ``tree`` naming a node's tree; without the nodes themselves.
+
+    A node's range is cut into intervals of 2^k numbers that start at multiples of 2^k, at most two
+    of each k. Every number lies in one such interval of each size, so that ranges and numbers meet
+    by equality, each pair exactly once: no task holds more than the rows it gives out, and a tree of
+    any shape, also one with a third of all rows, is spread by interval.
+    """
+    wide = places.agg(F.max(F.col("rgt") - F.col("lft"))).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(wide).bit_length()))
+    lo, hi = F.col("lft") + 1, F.col("rgt") + 1
+
+    def cut(k):
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        a, b = F.floor((lo + size - 1) / size), F.floor(hi / size)
+        one = lambda use, at: F.when((a < b) & use, F.struct(k.alias("k"), at.alias("at")))
+        return F.array(one(a % 2 == 1, a), one(b % 2 == 1, b - 1))
+
+    ranges = places.where("rgt > lft").select(*tree, F.col("id").alias("ancestor"), F.explode(F.filter(F.flatten(F.transform(levels, cut)), lambda e: e.isNotNull())).alias("e"))
+    points = places.select(*tree, F.col("id").alias("descendant"), "lft", F.explode(levels).alias("k"))
+    points = points.select(*tree, "descendant", "k", F.expr("shiftright(lft, k)").alias("at"))
+    return ranges.select(*tree, "ancestor", "e.k", "e.at").join(points, [*tree, "k", "at"]).select(*tree, "ancestor", "descendant")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.hierarchy import hierarchy
+from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.orphans import broken_references
 from lexloom.operators.snapshots import snapshot_changes
 from lexloom.plans import Registry
@@ -163,15 +163,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, d).drop("lft", "rgt")
 
 
-@R.query("p4_descendants", P4 + "SELECT p.node_table, p.root_id AS ancestor_id, p.node_id AS descendant_id FROM placed p WHERE state = 'ok' AND depth > 0")
+@R.query("p4_descendants", P4 + "SELECT t AS node_table, unnest(chain[:-2]) AS ancestor_id, node AS descendant_id FROM ok")
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of every root, by nested-set range: one root's tree is one key, so each
-    node meets exactly its root's range."""
-    f = _places(spark, d).where("state = 'ok'")
-    root = f.where("depth = 0").select(F.col("node_table").alias("t"), F.col("node_id").alias("ancestor_id"), F.col("lft").alias("a"), F.col("rgt").alias("b"))
-    return f.join(root, (F.col("node_table") == F.col("t")) & (F.col("root_id") == F.col("ancestor_id")) & (F.col("lft") > F.col("a")) & (F.col("lft") <= F.col("b"))).select(
-        "node_table", "ancestor_id", F.col("node_id").alias("descendant_id")
-    )
+    """All descendants of every node, by nested-set ranges."""
+    f = _places(spark, d).where("state = 'ok'").select("node_table", "root_id", F.col("node_id").alias("id"), "lft", "rgt")
+    return descendants(f, ["node_table", "root_id"]).select("node_table", F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"))
 
 
 @R.query("p4_ranges")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.hierarchy import hierarchy
+from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.orphans import broken_references
 from lexloom.operators.snapshots import snapshot_changes
 from lexloom.plans import records
@@ -91,6 +91,18 @@ def test_hierarchy_against_brute_force(spark):
     assert by["self"].state == "cycle" and by["b3"].state == "below-cycle"
 
 
+def test_descendants_of_every_node(spark):
+    rng = random.Random(7)
+    parent = {f"n{i}": rng.choice([None, *(f"n{j}" for j in range(max(1, i)))]) for i in range(200)}
+    parent |= {f"c{i}": f"c{i - 1}" if i else None for i in range(33)} | {f"k{i}": "c32" for i in range(40)} | {"n0": None}
+    df = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    places = hierarchy(df, Scratch(spark, "t")).where("state = 'ok'").withColumn("ancestor", F.lit(1))
+    got = [tuple(r) for r in descendants(places.select("root_id", "id", "lft", "rgt"), ["root_id"]).select("ancestor", "descendant").collect()]
+    want = {(a, n) for n, w in brute(parent).items() for a in w[3].split(">")[:-1]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert descendants(places.limit(0).select("root_id", "id", "lft", "rgt"), ["root_id"]).count() == 0
+
+
 def test_hierarchy_of_nothing_of_a_star_and_of_rings(spark):
     assert hierarchy(spark.createDataFrame([], "id string, parent string"), Scratch(spark, "t")).count() == 0
     star = run(spark, {"root": None} | {f"k{i}": "root" for i in range(400)})
