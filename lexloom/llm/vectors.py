@@ -45,8 +45,9 @@ class Similar:
     calibrate: int = 256
     #: Share of the spread of a branch's leaves by which it is taken to be nearer than its centre.
     boundary: float = 0.4
-    #: Rows of a cell, the branch whose leaves are searched in one place.
-    cell_rows: int = 1_600
+    #: Rows of a cell, the branch whose leaves are searched in one place: as many as give two cells
+    #: for each task, within these bounds (the upper is one of memory: 16 MB of 64 numbers).
+    cell_rows: tuple[int, int] = (1_600, 32_000)
     #: Rows of a leaf compared at once; a leaf of more is split into blocks.
     block: int = 4_000
 
@@ -277,7 +278,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     smallest ids can be among any row's first k. Groups meet in leaves, in blocks of bounded size,
     so a crowded leaf is spread over tasks. Candidates are compared in double precision and ranked by
     similarity to 12 digits, then the smallest id of the group: the k first groups hold the k first
-    rows, and five more stand by for sums that round otherwise when the kept are compared again.
+    rows.
     """
     spark = rows.sparkSession
     good = (F.size("vec") == cfg.dims) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -323,9 +324,10 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     visits = _calibrate(filed, trees, cfg)
 
     # Where each leaf is searched: its cell, or blocks of its own if it is crowded.
-    places = []
+    places, n_tasks = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell_rows = min(cfg.cell_rows[1], max(cfg.cell_rows[0], total // (2 * n_tasks)))
     for s, tree in trees.items():
-        for leaf, cell in enumerate(tree.cells(cfg.cell_rows)):
+        for leaf, cell in enumerate(tree.cells(cell_rows)):
             places.append((s, leaf, int(cell), max(1, -(-int(tree.rows[tree.leaf_node[leaf]]) // cfg.block))))
     plan = spark.sparkContext.broadcast((trees, visits, {(s, leaf): (cell, n) for s, leaf, cell, n in places}))
 
@@ -359,9 +361,9 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     stored = filed.join(where, (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left").select(
         "space", "gid", "v", F.coalesce("cell", F.lit(0)).alias("cell"), F.expr("int(pmod(xxhash64(gid), coalesce(blocks, 1)))").alias("block"), F.array("leaf").alias("leaves"), F.lit(False).alias("query"), "first"
     )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * max([1, *visits.values()]) // 400_000)
+    tasks = max(n_tasks, total * max([1, *visits.values()]) // 400_000)
     both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored)
-    keep = cfg.k + 5
+    keep = cfg.k
 
     def best(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row the ``keep`` largest, equal ones (to 12 digits) by column."""
@@ -421,15 +423,8 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                         )
 
     met = both.repartition(tasks, "space", "cell", "block").sortWithinPartitions("space", "cell", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s double, first string")
-    near = scratch.save(_best(met, cfg.k + 5, "first"), "near")
-    a = base.select(F.col("space"), F.col("gid"), F.col("vec").alias("va"))
-    b = base.select(F.col("space").alias("so"), F.col("gid").alias("other"), F.col("vec").alias("vb"))
-    exact = near.select("space", "gid", "other").join(a, ["space", "gid"]).join(b, (F.col("space") == F.col("so")) & (near["other"] == b["other"]))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    cosine = F.round(dot("va", "vb") / F.sqrt(dot("va", "va")) / F.sqrt(dot("vb", "vb")), 12)
-    groups = exact.select(a["space"], a["gid"], b["other"], cosine.alias("similarity")).unionByName(
-        base.where("copies > 1").select("space", "gid", F.col("gid").alias("other"), F.lit(1.0).alias("similarity"))
-    ).where(F.col("similarity") >= cfg.least)
+    near = _best(met, keep, "first").select("space", "gid", "other", F.col("s").alias("similarity"))
+    groups = near.unionByName(base.where("copies > 1").select("space", "gid", F.col("gid").alias("other"), F.lit(1.0).alias("similarity"))).where(F.col("similarity") >= cfg.least)
     # Rows of a group share everything but their own id, so each group's list is made once.
     listed = groups.join(few.select(F.col("space").alias("fs"), F.col("gid").alias("fg"), F.explode("ids").alias("oid")), (F.col("space") == F.col("fs")) & (F.col("other") == F.col("fg")))
     lists = listed.groupBy("space", "gid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("n"), F.col("oid").alias("oid")))), 1, cfg.k + 1).alias("l"))
