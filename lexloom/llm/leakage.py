@@ -7,8 +7,8 @@ most positions of the emitted string, so edit distance turns into Hamming distan
 samples a few of those positions as its key; how many tables reach the asked recall is calibrated
 on copies of the items' own windows with words replaced, inserted and deleted. Windows of a text are
 read in every length that the edits allow, and where they meet an item's under a key their edit
-distance is computed exactly. Windows with more words or pairs of words that no item has than the
-edits could bring about are never read.
+distance is computed exactly. Windows with more words or runs of three words that no item has than
+the edits could bring about are never read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from lexloom.llm.spread import spread
 from lexloom.llm.words import U64, mix, words
 from lexloom.tables import Scratch
 
+RUN = 3
 EDITS = ("replace", "insert", "delete")
 
 
@@ -144,20 +145,18 @@ class Items:
         self.cfg, self.ids = cfg, [i for i, _ in items]
         self.number: dict[str, int] = {}
         flat, starts, owner, base = [], [], [], 0
-        last = []
         for k, (_, text) in enumerate(items):
             ws = words(text)
             flat += [self.number.setdefault(w, len(self.number) + 1) for w in ws]
             starts += range(base, base + len(ws) - cfg.window + 1)
             owner += [k] * max(0, len(ws) - cfg.window + 1)
             base += len(ws)
-            last.append(base - 1)
         self.words = np.array(flat, np.int64)
         self.starts, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
-        self.pairs = np.zeros(1 << max(10, (16 * len(flat)).bit_length()), bool)
-        if len(flat) > 1:
-            inside = np.setdiff1d(np.arange(len(flat) - 1), np.array(last, np.int64))
-            self.pairs[self._pair(self.words)[inside]] = True
+        # Runs over the ends of items do no harm: the map only saves work.
+        self.runs = np.zeros(1 << max(10, (16 * len(flat)).bit_length()), bool)
+        if len(flat) >= RUN:
+            self.runs[self._runs(self.words)] = True
         self.sketch, self.recall = Sketch(cfg, len(self.number)), 1.0
         self._calibrate()
         self.tables = []
@@ -165,11 +164,13 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
 
-    def _pair(self, ws: np.ndarray) -> np.ndarray:
-        """Place of each pair of neighbours in the map of pairs that items have."""
+    def _runs(self, ws: np.ndarray) -> np.ndarray:
+        """Place of each run of neighbours in the map of runs that items have."""
+        code, n = np.zeros(max(0, len(ws) - RUN + 1), U64), len(ws)
         with np.errstate(over="ignore"):
-            code = ws[:-1].astype(U64) * U64(0x9E3779B97F4A7C15) + ws[1:].astype(U64)
-        return (mix(code) & U64(len(self.pairs) - 1)).astype(np.int64)
+            for i in range(RUN):
+                code = code * U64(0x9E3779B97F4A7C15) + ws[i : n - RUN + 1 + i].astype(U64)
+        return (mix(code) & U64(len(self.runs) - 1)).astype(np.int64)
 
     def _calibrate(self) -> None:
         """Adds tables until edited copies of the windows meet their originals often enough, whether
@@ -228,15 +229,17 @@ class Items:
             return none, none, none
         sizes = np.array([len(p) for p in parts])
         ends, text_of = np.cumsum(sizes), np.repeat(np.arange(len(parts)), sizes)
-        # A window with more foreign words or pairs than the edits make is near no item's.
+        # A window with more foreign words or runs than the edits make is near no item's.
         foreign = np.concatenate([[0], np.cumsum(ws == 0)])
-        apart = np.concatenate([[0], np.cumsum(~self.pairs[self._pair(ws)])])
+        apart = np.concatenate([[0], np.cumsum(~self.runs[self._runs(ws)])])
         met = []
         for length in range(max(1, w - e), w + e + 1):
             n = len(ws) - length + 1
             if n <= 0:
                 continue
-            near = (foreign[length:] - foreign[:n] <= e) & (apart[length - 1 :] - apart[:n] <= 2 * e) & (text_of[:n] == text_of[length - 1 :])
+            near = (foreign[length:] - foreign[:n] <= e) & (text_of[:n] == text_of[length - 1 :])
+            if length >= RUN:
+                near &= apart[length - RUN + 1 :] - apart[:n] <= RUN * e
             for x, y in self._meet(ws, np.flatnonzero(near), length):
                 met.append(_once(x * np.int64(len(self.starts)) + y))
         if not met:
@@ -254,7 +257,7 @@ class Items:
         return t[first], owner[first], edit[first]
 
 
-def _chunks(ids: list, texts: list[str], most: int = 50_000) -> Iterator[tuple[list, list[str]]]:
+def _chunks(ids: list, texts: list[str], most: int = 400_000) -> Iterator[tuple[list, list[str]]]:
     """Texts of about ``most`` characters at a time; a longer one is a chunk of its own."""
     lo = total = 0
     for i, t in enumerate(texts):
