@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 #: Kinds of link.
 LINK_TYPES = (
-    "contains", "defines", "amends", "supersedes", "cites", "see-also", "subject-to", "as-defined-in", "applies-to", "derived-from",
+    "cites", "adjudicates", "applies-to", "derives-from", "precedent-of", "interprets", "contains", "instance-of", "amends", "supersedes", "defines",
+    "uses-term", "see-also", "subject-to", "as-defined-in",
 )
 
 
+def unknown_links(links: DataFrame) -> DataFrame:
+    """Links whose kind is none of the taxonomy; a null kind is none."""
+    return links.where(~F.coalesce(F.col("link_type").isin(*LINK_TYPES), F.lit(False)))
+
+
 def traverse(links: DataFrame, atoms: DataFrame, start: str | None = None, link_type: str | None = None) -> DataFrame:
     """Outgoing links with the record they point at, null where it does not exist. Without a start
     all links are followed."""

@@ -18,12 +18,15 @@ REPLACED = ("cites", "see-also", "subject-to", "as-defined-in")
 def matches(text: Column, pattern: str) -> Column:
     """Array of structs (whole, part, at): every match, its group 1 and where it begins (from 0)."""
     whole, part = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    taken = F.transform(whole, F.length)
-    index = F.sequence(F.lit(0), F.size(whole) - 1)
-    at = lambda k: F.aggregate(F.slice(between, 1, k + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(taken, 1, k), F.lit(0), lambda a, x: a + x)
-    found = F.transform(index, lambda k: F.struct(F.get(whole, k).alias("whole"), F.get(part, k).alias("part"), at(k).alias("at")))
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast("array<struct<whole:string,part:string,at:int>>"))
+    one = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("before"))
+    kind = "array<struct<whole:string,part:string,at:int>>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("l"))
+
+    def add(held: Column, m: Column) -> Column:
+        at = held["end"] + F.length(m["before"])
+        return F.struct((at + F.length(m["whole"])).alias("end"), F.concat(held["l"], F.array(F.struct(m["whole"].alias("whole"), m["part"].alias("part"), at.alias("at")))).alias("l"))
+
+    return F.aggregate(one, start, add, lambda held: held["l"])
 
 
 def label_forms(sections: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def label_forms(sections: DataFrame) -> DataFrame:
     n = F.col("section_number")
     forms = F.array(n, I.normal_label(n), I.bare_label(n), I.bare_label(I.normal_label(n)))
     x = sections.where(n.isNotNull()).select(F.col("code_edition_id").alias("bucket"), "entity_id", "seq", F.posexplode(forms).alias("f", "label"))
-    return x.groupBy("bucket", "label").agg(F.max_by("entity_id", F.struct("seq", "f")).alias("id"))
+    return x.groupBy("bucket", "label").agg(F.max_by("entity_id", F.struct("seq", "f", "entity_id")).alias("id"))
 
 
 def sniff(sections: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -57,6 +57,11 @@ def search(atoms: DataFrame, query: str | None = None, tenant: str | None = None
     return scored.where("score is not null").orderBy(F.desc("score"), "seq", "did").limit(clamp(limit)).drop("seq")
 
 
+def with_total(page: DataFrame) -> DataFrame:
+    """A page of results (at most MOST rows) with ``total_candidates``, the number of its rows."""
+    return page.withColumn("total_candidates", F.count("*").over(Window.partitionBy()))
+
+
 def search_many(atoms: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """First ``top`` records of every row of ``queries (query_id, tenant, q)`` within its tenant:
     ``(query_id, did, score, place)``. Joined by tenant; the ranking keeps a bounded heap per query

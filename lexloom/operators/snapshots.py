@@ -16,8 +16,8 @@ def snapshot_changes(
     snapshot the one with the largest ``order`` counts (a null order is the smallest; among equal
     orders the largest version). The rows of both sides are taken from each other by EXCEPT ALL in both
     directions: one grouping counts each row's surplus on either side, so identical rows are gone
-    before the full join by key and the table is read and shuffled once. ``changed`` needs a non-null version on
-    both sides. Rows with a null snapshot or key are left out; a null owner is an owner of its own.
+    before the full join by key. The table is read twice: its rows, and narrowly the numbers of each
+    owner's snapshots. ``changed`` needs a non-null version on both sides. Rows with a null snapshot or key are left out; a null owner is an owner of its own.
     Other columns of the input are never looked at. An empty input gives an empty result.
 
     Hot keys are reduced by the map-side part of the aggregation; a hot owner is spread by the key.

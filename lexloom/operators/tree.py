@@ -14,18 +14,19 @@ from lexloom.functions.ids import trim_all
 
 #: What a heading of a depth is.
 KINDS = {1: "chapter", 2: "article", 3: "section", 4: "subsection", 5: "subsection", 6: "subsection"}
-_SIGN = r"^§\s*([\w.()-]+)\s*[—–-]?\s*(.*)$"
-_WORD = r"(?i)^(Chapter|Ch\.?|Article|Art\.?|Division|Div\.?|Section|Sec\.?)\s+([\w.-]+)\s*[—–-]?\s*(.*)$"
-_BARE = r"^([\w.-]+)\s+(.*)$"
+#: How headings name their label: by sign, by division word, by the first word alone.
+SIGN = r"^§\s*([\w.()-]+)\s*[—–-]?\s*(.*)$"
+WORD = r"(?i)^(Chapter|Ch\.?|Article|Art\.?|Division|Div\.?|Section|Sec\.?)\s+([\w.-]+)\s*[—–-]?\s*(.*)$"
+BARE = r"^([\w.-]+)\s+(.*)$"
 
 
 def split_heading(text: Column) -> Column:
     """Struct ``(label, title)`` of a heading's text."""
-    word_title = trim_all(F.regexp_extract(text, _WORD, 3))
+    word_title = trim_all(F.regexp_extract(text, WORD, 3))
     return (
-        F.when(text.rlike(_SIGN), F.struct(F.regexp_extract(text, _SIGN, 1).alias("label"), trim_all(F.regexp_extract(text, _SIGN, 2)).alias("title")))
-        .when(text.rlike(_WORD), F.struct(F.regexp_extract(text, _WORD, 2).alias("label"), F.when(word_title != "", word_title).otherwise(F.regexp_extract(text, _WORD, 1)).alias("title")))
-        .when(text.rlike(_BARE), F.struct(F.regexp_extract(text, _BARE, 1).alias("label"), trim_all(F.regexp_extract(text, _BARE, 2)).alias("title")))
+        F.when(text.rlike(SIGN), F.struct(F.regexp_extract(text, SIGN, 1).alias("label"), trim_all(F.regexp_extract(text, SIGN, 2)).alias("title")))
+        .when(text.rlike(WORD), F.struct(F.regexp_extract(text, WORD, 2).alias("label"), F.when(word_title != "", word_title).otherwise(F.regexp_extract(text, WORD, 1)).alias("title")))
+        .when(text.rlike(BARE), F.struct(F.regexp_extract(text, BARE, 1).alias("label"), trim_all(F.regexp_extract(text, BARE, 2)).alias("title")))
         .otherwise(F.struct(F.lit("").alias("label"), text.alias("title")))
     )
 

@@ -34,7 +34,7 @@ def within(c: str, low: float, high: float) -> Column:
 def rules_for(kind: str) -> dict[str, Column]:
     out = {f"{c} is empty": filled(c) for c in REQUIRED[kind]}
     if kind == "code-section":
-        out |= {"source_url is no address": url("source_url"), "fetched_at is no time": F.col("fetched_at").try_cast("timestamp").isNotNull(), "deep link is no address": url("verbatim_text_deep_link")}
+        out |= {"source_url is no address": url("source_url"), "fetched_at is no time": F.col("fetched_at").try_cast("timestamp").isNotNull(), "deep link is no address": url("verbatim_text_deep_link"), "body_text is empty": filled("body_text")}
     if kind == "code-cross-reference":
         out |= {"reference_type is unknown": one_of("reference_type", REFERENCE_TYPES)}
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
 from lexloom.functions import text as T
-from lexloom.operators import drift, evaluate, graph, rules, search, store
+from lexloom.operators import drift, evaluate, graph, references, rules, search, store
 from lexloom.plans import Registry
 from lexloom.tables import Scratch, table
 
@@ -151,17 +151,6 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return store.keep_first(x, ["text_key"], [F.col("doc_id")])
 
 
-@R.query(
-    "sections_by_number",
-    f"""SELECT DISTINCT a.entity_id, b.entity_id AS same_number_id FROM code_sections a JOIN code_sections b
-      ON a.jurisdiction_tenant = b.jurisdiction_tenant AND a.section_number = b.section_number WHERE a.jurisdiction_tenant LIKE 'torvec-%'""",
-)
-def sections_by_number(spark: SparkSession, d: str) -> DataFrame:
-    """Exact section number within a tenant, for the tenants of one family."""
-    s = table(spark, d, "code_sections").where(F.col("jurisdiction_tenant").startswith("torvec-")).select("jurisdiction_tenant", "section_number", "entity_id").distinct()
-    return s.join(s.select("jurisdiction_tenant", "section_number", F.col("entity_id").alias("same_number_id")), ["jurisdiction_tenant", "section_number"]).select("entity_id", "same_number_id").distinct()
-
-
 @R.query(
     "section_number_groups",
     """WITH s AS (SELECT DISTINCT jurisdiction_tenant, section_number, entity_id FROM code_sections WHERE jurisdiction_tenant IS NOT NULL AND section_number IS NOT NULL AND entity_id IS NOT NULL),
@@ -318,7 +307,8 @@ def eval_failures(spark: SparkSession, d: str) -> DataFrame:
 _XREF_OK = f"""xr AS (SELECT DISTINCT xref_id, jurisdiction_tenant, code_edition_id, {S.section_key('target_section_label')} AS k FROM cross_refs),
 sk AS (SELECT DISTINCT code_edition_id, {S.section_key('section_number')} AS k FROM code_sections),
 xs AS (SELECT jurisdiction_tenant, avg(CASE WHEN sk.k IS NULL THEN 0.0 ELSE 1.0 END) AS x FROM xr LEFT JOIN sk ON sk.code_edition_id = xr.code_edition_id AND sk.k = xr.k GROUP BY 1),
-ns AS (SELECT jurisdiction_tenant, avg(CASE WHEN coalesce(section_number, '') = '' THEN 0.0 ELSE 1.0 END) AS x FROM (SELECT DISTINCT entity_id, jurisdiction_tenant, section_number FROM code_sections) GROUP BY 1)"""
+ns AS (SELECT jurisdiction_tenant, avg(CASE WHEN EXISTS (SELECT 1 FROM code_sections c WHERE c.jurisdiction_tenant = atoms.jurisdiction_tenant AND c.section_number = atoms.section_number AND c.section_number <> '' AND c.entity_id = atoms.entity_id)
+  THEN 1.0 ELSE 0.0 END) AS x FROM atoms WHERE entity_type = 'code-section' GROUP BY 1)"""
 
 
 def _cross_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -328,17 +318,20 @@ def _cross_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _number_scores(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "code_sections").select("entity_id", "jurisdiction_tenant", "section_number").distinct()
-    return x.groupBy("jurisdiction_tenant").agg(F.avg(F.when(F.coalesce("section_number", F.lit("")) == "", 0.0).otherwise(1.0)).alias("section_num_score"))
+    """Candidates are the searchable sections; each is looked up by its number among all rows."""
+    candidates = _atoms(spark, d).where("entity_type = 'code-section'")
+    held = table(spark, d, "code_sections").select("jurisdiction_tenant", "section_number", I.did(F.lit("code-section"), F.col("entity_id")).alias("did"))
+    found = evaluate.retrievable(candidates, held)
+    return found.groupBy("jurisdiction_tenant").agg(F.avg(F.col("retrievable").cast("double")).alias("section_num_score"))
 
 
-@R.query("coverage_score", f"WITH {_XREF_OK} SELECT jurisdiction_tenant, round(x, 6) AS section_num_score FROM ns")
+@R.query("coverage_score", f"WITH {ATOMS}, {_XREF_OK} SELECT jurisdiction_tenant, round(x, 6) AS section_num_score FROM ns")
 def coverage_score(spark: SparkSession, d: str) -> DataFrame:
-    """Share of all sections of a tenant that their exact number finds; blank numbers fail."""
+    """Share of a tenant's sections that a look-up of their exact number finds again."""
     return _number_scores(spark, d).withColumn("section_num_score", F.round("section_num_score", 6))
 
 
-@R.query("cross_ref_score", f"WITH {_XREF_OK} SELECT jurisdiction_tenant, round(x, 6) AS cross_ref_score FROM xs")
+@R.query("cross_ref_score", f"WITH {ATOMS}, {_XREF_OK} SELECT jurisdiction_tenant, round(x, 6) AS cross_ref_score FROM xs")
 def cross_ref_score(spark: SparkSession, d: str) -> DataFrame:
     return _cross_scores(spark, d).withColumn("cross_ref_score", F.round("cross_ref_score", 6))
 
@@ -359,6 +352,21 @@ def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     return x.select("jurisdiction_tenant", r("top3_score"), "n_queries", r("section_num_score"), r("cross_ref_score"), ok)
 
 
+@R.query(
+    "eval_samples",
+    f"""WITH {ATOMS}, r AS (SELECT *, row_number() OVER (PARTITION BY jurisdiction_tenant, entity_type ORDER BY seq, did) AS place FROM atoms) SELECT jurisdiction_tenant, entity_type, did, place FROM r WHERE place <= 20""",
+)
+def eval_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 records of each tenant and kind, as a quality run samples them."""
+    return evaluate.samples(_atoms(spark, d), 20).select("jurisdiction_tenant", "entity_type", "did", F.col("place").cast("bigint").alias("place"))
+
+
+@R.query("search_total", "WITH r AS (" + _search_sql("grading permit of the county surveyor", n=40) + ") SELECT did, score, count(*) OVER () AS total_candidates FROM r")
+def search_total(spark: SparkSession, d: str) -> DataFrame:
+    """A page of results with the number of records on it."""
+    return search.with_total(search.search(_atoms(spark, d), "grading permit of the county surveyor", limit=40)).select("did", "score", "total_candidates")
+
+
 # --- links ------------------------------------------------------------------------------------
 
 
@@ -373,10 +381,37 @@ def traverse_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.traverse(links, atoms).select("from_did", "to_did", "found")
 
 
-@R.query("dangling_links", "SELECT DISTINCT 'did:lex:code-section:' || entity_id AS to_did FROM section_snapshots WHERE entity_id NOT IN (SELECT entity_id FROM code_sections)")
+@R.query(
+    "dangling_links",
+    """SELECT DISTINCT 'did:lex:code-section:' || entity_id AS to_did FROM section_snapshots
+      WHERE entity_id NOT IN (SELECT entity_id FROM code_sections GROUP BY 1 HAVING bool_or(removed_at IS NULL))""",
+)
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered sections that are not, or no longer, in the store."""
     links = table(spark, d, "section_snapshots").select(I.did(F.lit("code-section"), F.col("entity_id")).alias("to_did")).distinct()
-    return graph.dangling(links, table(spark, d, "code_sections").select(I.did(F.lit("code-section"), F.col("entity_id")).alias("did")))
+    held = table(spark, d, "code_sections").where("removed_at is null")
+    return graph.dangling(links, held.select(I.did(F.lit("code-section"), F.col("entity_id")).alias("did")))
+
+
+@R.query(
+    "links_not_stored",
+    f"""SELECT DISTINCT 'did:lex:code-edition:' || code_edition_id AS from_did, 'did:lex:code-section:' || entity_id AS to_did, 'contains' AS link_type FROM section_snapshots x
+      WHERE NOT EXISTS (SELECT 1 FROM code_sections s WHERE s.entity_id = x.entity_id AND s.code_edition_id = x.code_edition_id AND s.removed_at IS NULL)""",
+)
+def links_not_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Links that deliveries bring and the store, without sections taken away, does not hold."""
+    keys = ["from_did", "to_did", "link_type"]
+    links = lambda x: x.select(I.did(F.lit("code-edition"), F.col("code_edition_id")).alias("from_did"), I.did(F.lit("code-section"), F.col("entity_id")).alias("to_did"), F.lit("contains").alias("link_type"))
+    return store.new_links(links(table(spark, d, "section_snapshots")).distinct(), links(table(spark, d, "code_sections").where("removed_at is null")), keys)
+
+
+_KINDS_SQL = ", ".join(f"'{k}'" for k in graph.LINK_TYPES)
+
+
+@R.query("links_unknown", f"SELECT DISTINCT xref_id, reference_type AS link_type FROM cross_refs WHERE coalesce(reference_type NOT IN ({_KINDS_SQL}), true)")
+def links_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """References whose stated kind is none of the link taxonomy."""
+    return graph.unknown_links(table(spark, d, "cross_refs").select("xref_id", F.col("reference_type").alias("link_type"))).distinct()
 
 
 @R.query(
@@ -390,14 +425,13 @@ def composition_children(spark: SparkSession, d: str) -> DataFrame:
     return e.join(s, "edition_id", "left").select("edition_id", F.coalesce("n", F.lit(0)).alias("n_children"), "first_child")
 
 
-_SNIFF = r"""m AS (SELECT entity_id, code_edition_id, body_text, unnest(list_concat(regexp_extract_all(body_text, '§\s*([\w.()-]+)', 1), regexp_extract_all(body_text, '(?i)\bsection\s+([\w.()-]+)', 1))) AS raw
+_SNIFF = rf"""m AS (SELECT entity_id, code_edition_id, body_text, unnest(list_concat(regexp_extract_all(body_text, '{references.PASSES[0]}', 1), regexp_extract_all(body_text, '(?i)\bsection\s+([\w.()-]+)', 1))) AS raw
   FROM (SELECT DISTINCT entity_id, code_edition_id, body_text FROM code_sections))"""
 
 
 def _sniffed(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "code_sections").select("entity_id", "code_edition_id", "body_text").distinct()
-    a = F.regexp_extract_all("body_text", F.lit(r"§\s*([\w.()-]+)"), F.lit(1))
-    b = F.regexp_extract_all("body_text", F.lit(r"(?i)(?<![A-Za-z0-9_])section\s+([\w.()-]+)"), F.lit(1))
+    a, b = (F.regexp_extract_all("body_text", F.lit(p), F.lit(1)) for p in references.PASSES)
     return x.select("entity_id", "code_edition_id", F.explode(F.concat(a, b)).alias("raw")).withColumn("label", I.no_end_marks(F.col("raw"))).withColumn("normal", I.normal_label(F.col("label"))).where("label != '' and normal != ''")
 
 
@@ -406,21 +440,35 @@ def xref_sniff(spark: SparkSession, d: str) -> DataFrame:
     return _sniffed(spark, d).groupBy("entity_id", F.col("normal").alias("label")).agg(F.count("*").alias("n"))
 
 
+#: Targets by the four forms of a section's number: of one form the last written section counts.
+_TARGETS = f"""t AS (SELECT code_edition_id, label, arg_max(entity_id, (w, f, entity_id)) AS id FROM (SELECT code_edition_id, entity_id, w, unnest(forms) AS label, generate_subscripts(forms, 1) AS f FROM (
+      SELECT code_edition_id, entity_id, {_WRITTEN} AS w, [section_number, {J.normal_label('section_number')}, {J.bare_label('section_number')}, {J.bare_label(J.normal_label('section_number'))}] AS forms FROM code_sections WHERE section_number IS NOT NULL)) GROUP BY 1, 2)"""
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return references.label_forms(table(spark, d, "code_sections").select("code_edition_id", "entity_id", "section_number", _us("fetched_at").alias("seq")))
+
+
+#: References with labels to look up: those that bodies hold, and those that ingestion recorded.
+_CITED = f"""l AS (SELECT DISTINCT entity_id AS from_id, code_edition_id, {J.no_end_marks('raw')} AS label FROM m
+      UNION SELECT DISTINCT 'xref/' || xref_id, code_edition_id, {J.no_end_marks('target_section_label')} FROM cross_refs WHERE target_section_label IS NOT NULL)"""
+
+
 @R.query(
     "xref_resolve",
-    f"""WITH {_SNIFF}, l AS (SELECT DISTINCT entity_id, code_edition_id, {J.no_end_marks('raw')} AS label FROM m), p AS (SELECT *, {J.normal_label('label')} AS normal, {J.bare_label(J.normal_label('label'))} AS bare FROM l),
-    t0 AS (SELECT DISTINCT code_edition_id, entity_id, section_number AS n FROM code_sections WHERE section_number IS NOT NULL),
-    t AS (SELECT code_edition_id, label, max(entity_id) AS id FROM (SELECT code_edition_id, entity_id, unnest([n, {J.normal_label('n')}, {J.bare_label('n')}, {J.bare_label(J.normal_label('n'))}]) AS label FROM t0) GROUP BY 1, 2)
-    SELECT p.entity_id AS from_id, p.label, coalesce(a.id, b.id, c.id) AS to_id FROM p LEFT JOIN t a ON a.code_edition_id = p.code_edition_id AND a.label = p.label
+    f"""WITH {_SNIFF}, {_CITED}, p AS (SELECT *, {J.normal_label('label')} AS normal, {J.bare_label(J.normal_label('label'))} AS bare FROM l), {_TARGETS}
+    SELECT p.from_id, p.label, coalesce(a.id, b.id, c.id) AS to_id FROM p LEFT JOIN t a ON a.code_edition_id = p.code_edition_id AND a.label = p.label
       LEFT JOIN t b ON b.code_edition_id = p.code_edition_id AND b.label = p.normal LEFT JOIN t c ON c.code_edition_id = p.code_edition_id AND c.label = p.bare WHERE p.label <> '' AND p.normal <> ''""",
 )
 def xref_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """References found in bodies, resolved within their edition by three forms of the label."""
-    refs = _sniffed(spark, d).select(F.col("entity_id").alias("from_id"), F.col("code_edition_id").alias("bucket"), "label", F.col("label").alias("probe_1"), F.col("normal").alias("probe_2"), I.bare_label(F.col("normal")).alias("probe_3")).distinct()
-    n = F.col("section_number")
-    forms = F.array(n, I.normal_label(n), I.bare_label(n), I.bare_label(I.normal_label(n)))
-    targets = table(spark, d, "code_sections").where(n.isNotNull()).select(F.col("code_edition_id").alias("bucket"), F.explode(forms).alias("label"), "entity_id").groupBy("bucket", "label").agg(F.max("entity_id").alias("id"))
-    return graph.resolve_labels(refs, targets).select("from_id", "label", "to_id")
+    """References of bodies and of ingestion, resolved within their edition by three forms of the label."""
+    found = _sniffed(spark, d).select(F.col("entity_id").alias("from_id"), F.col("code_edition_id").alias("bucket"), "label")
+    stated = table(spark, d, "cross_refs").where("target_section_label is not null").select(
+        F.concat(F.lit("xref/"), F.col("xref_id").cast("string")).alias("from_id"), F.col("code_edition_id").alias("bucket"), I.no_end_marks(F.col("target_section_label")).alias("label")
+    )
+    normal = I.normal_label(F.col("label"))
+    refs = found.unionByName(stated).where((F.col("label") != "") & (normal != "")).select("from_id", "bucket", "label", F.col("label").alias("probe_1"), normal.alias("probe_2"), I.bare_label(normal).alias("probe_3")).distinct()
+    return graph.resolve_labels(refs, _targets(spark, d)).select("from_id", "label", "to_id")
 
 
 @R.query(
@@ -458,7 +506,7 @@ def _effective(spark: SparkSession, d: str, part: DataFrame) -> DataFrame:
 @R.query(
     "effective_rule_all",
     f"""WITH o AS (SELECT 'tenant-' || (user_id % 7) AS t, 'part-' || (event_id % 211) AS b, strftime(ts, '%Y-%m-%d') AS dt, event_id AS seq, {_OPS} AS op FROM events),
-    bases AS (SELECT 'tenant-' || t AS t, 'part-' || p_partkey AS b, p_partkey AS n, p_name AS title FROM part, range(7) r(t) WHERE p_partkey < 150),
+    bases AS (SELECT 'tenant-' || t AS t, 'part-' || p_partkey AS b, p_partkey AS n, p_name AS title FROM part, range(7) r(t)),
     per AS (SELECT t, b, count(*) AS k, arg_max(op, (dt, seq)) AS op, 'o-' || arg_max(seq, (dt, seq)) AS ord, max(dt) AS dt, bool_or(op IN ('replace', 'delete')) AS gone FROM o GROUP BY 1, 2),
     x AS (SELECT coalesce(bases.t, per.t) AS t, coalesce(bases.b, per.b) AS b, n, title, k, op, ord, dt, gone, CASE op WHEN 'modify' THEN 'modified' WHEN 'replace' THEN 'replaced' WHEN 'add' THEN 'added' WHEN 'delete' THEN 'deleted' ELSE 'base-only' END AS resolution
       FROM bases FULL JOIN per ON per.t = bases.t AND per.b = bases.b)
@@ -467,12 +515,7 @@ def _effective(spark: SparkSession, d: str, part: DataFrame) -> DataFrame:
         ELSE ': ' || resolution || ' for ' || t || ' by ' || CASE WHEN k = 1 THEN '1 overlay' ELSE k || ' overlays' END || ' (latest: ordinance ' || ord || ', ' || op || ', effective ' || dt || ').' END AS note FROM x""",
 )
 def effective_rule_all(spark: SparkSession, d: str) -> DataFrame:
-    return _effective(spark, d, table(spark, d, "part").where("p_partkey < 150"))
-
-
-@R.query("effective_rule_parts", R.sql["effective_rule_all"].replace(" WHERE p_partkey < 150", ""))
-def effective_rule_parts(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every part, where ``effective_rule_all`` has those below 150 as base sections."""
+    """The rule of every part under the overlays of every tenant."""
     return _effective(spark, d, table(spark, d, "part"))
 
 
@@ -484,26 +527,38 @@ def overlays_by_section(spark: SparkSession, d: str) -> DataFrame:
     return rules.overlays_of(_overlays(spark, d), "tenant-3", "part-17").select("effective_date", "seq", "overlay_operation")
 
 
-def _capture_sql(n: int) -> str:
-    return f"""(SELECT entity_id, {S.hash_key('content_hash')} AS h FROM section_snapshots WHERE snapshot_no = {n}
-      QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_WRITTEN} DESC, h DESC NULLS LAST) = 1)"""
+_CAPTURES = f"""c AS (SELECT snapshot_no AS n, entity_id, {S.hash_key('content_hash')} AS h FROM section_snapshots WHERE snapshot_no IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY snapshot_no, entity_id ORDER BY {_WRITTEN} DESC, h DESC NULLS LAST) = 1),
+    b AS (SELECT * FROM c WHERE n > (SELECT min(n) FROM c)), a AS (SELECT n + 1 AS n, entity_id, h FROM c WHERE n < (SELECT max(n) FROM c))"""
+
+
+def _consecutive(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows by snapshot as those before and those of each snapshot but the first."""
+    low, high = x.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    return x.where(F.col("snapshot_no") < F.lit(high)).withColumn("snapshot_no", F.col("snapshot_no") + 1), x.where(F.col("snapshot_no") > F.lit(low))
 
 
 @R.query(
     "drift_diff",
-    f"""WITH a AS {_capture_sql(1)}, b AS {_capture_sql(8)} SELECT coalesce(b.entity_id, a.entity_id) AS section_id, CASE WHEN a.entity_id IS NULL THEN 'added' WHEN b.entity_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.h AS prior_hash, b.h AS current_hash
-      FROM a FULL JOIN b ON a.entity_id = b.entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.h <> b.h""",
+    f"""WITH {_CAPTURES} SELECT coalesce(b.n, a.n) AS snapshot_no, coalesce(b.entity_id, a.entity_id) AS section_id, CASE WHEN a.entity_id IS NULL THEN 'added' WHEN b.entity_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+      a.h AS prior_hash, b.h AS current_hash FROM a FULL JOIN b ON a.entity_id = b.entity_id AND a.n = b.n WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.h <> b.h""",
 )
 def drift_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Every snapshot against the one of the number before, of all tenants together."""
     x = table(spark, d, "section_snapshots").select("snapshot_no", F.col("entity_id").alias("section_id"), T.hash_key(F.col("content_hash")).alias("hash"), _us("fetched_at").alias("w"))
-    return drift.diff(*(drift.capture(x.where(F.col("snapshot_no") == n), "w") for n in (1, 8)))
+    prior, now = _consecutive(x)
+    within = ("snapshot_no",)
+    return drift.diff(drift.capture(prior, "w", within), drift.capture(now, "w", within), within)
 
 
-@R.query("drift_new_editions", "SELECT DISTINCT code_edition_id AS amendment_id FROM section_snapshots WHERE snapshot_no = 8 AND code_edition_id NOT IN (SELECT code_edition_id FROM section_snapshots WHERE snapshot_no = 1)")
+@R.query(
+    "drift_new_editions",
+    """WITH e AS (SELECT DISTINCT snapshot_no AS n, code_edition_id AS id FROM section_snapshots) SELECT n AS snapshot_no, id AS amendment_id FROM e
+      WHERE n > (SELECT min(n) FROM e) AND NOT EXISTS (SELECT 1 FROM e p WHERE p.n = e.n - 1 AND p.id = e.id)""",
+)
 def drift_new_editions(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "section_snapshots")
-    pick = lambda n: x.where(F.col("snapshot_no") == n).select(F.col("code_edition_id").alias("amendment_id")).distinct()
-    return drift.new_amendments(pick(1), pick(8))
+    x = table(spark, d, "section_snapshots").select("snapshot_no", F.col("code_edition_id").alias("amendment_id")).distinct()
+    return drift.new_amendments(*_consecutive(x), ("snapshot_no",))
 
 
 @R.query("snapshot_round_trip", f"WITH {ATOMS} SELECT did, entity_type, seq FROM atoms")

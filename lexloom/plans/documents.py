@@ -69,7 +69,7 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     return tree.quality(t).select(F.col("page").cast("bigint").alias("doc_id"), "sections", "cross_references", "viable")
 
 
-_SIGN, _WORD, _BARE = r"^§\s*([\w.()-]+)\s*[—–-]?\s*(.*)$", r"(?i)^(Chapter|Ch\.?|Article|Art\.?|Division|Div\.?|Section|Sec\.?)\s+([\w.-]+)\s*[—–-]?\s*(.*)$", r"^([\w.-]+)\s+(.*)$"
+_SIGN, _WORD, _BARE = tree.SIGN, tree.WORD, tree.BARE
 
 
 @R.query(
@@ -178,13 +178,15 @@ def toc_walk(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "leaf_cover",
-    f"""WITH n AS (SELECT id, {S.strip_blanks('parent_id')} AS p, doc_order_id FROM toc_nodes WHERE NOT coalesce(has_children, false) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {S.instant('fetched_at')} DESC, p DESC NULLS LAST) = 1)
-    SELECT id FROM n QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_order_id, id) = 1""",
+    f"""WITH n AS (SELECT id, {S.strip_blanks('parent_id')} AS p, doc_order_id FROM toc_nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY {S.instant('fetched_at')} DESC, p DESC NULLS LAST, doc_order_id DESC NULLS LAST) = 1)
+    SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM n k WHERE k.p = n.id) QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_order_id, id) = 1""",
 )
 def leaf_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves to fetch when one fetch brings all leaves of a parent: the first of each parent."""
-    x = table(spark, d, "toc_nodes").where("not coalesce(has_children, false)").select("id", F.struct(T.instant(F.col("fetched_at")).alias("t"), T.strip_blanks(F.col("parent_id")).alias("p"), "doc_order_id").alias("r")).groupBy("id").agg(F.max("r").alias("r"))
-    return x.groupBy(F.col("r.p").alias("p")).agg(F.min(F.struct("r.doc_order_id", "id"))["id"].alias("id")).select("id")
+    """Leaves to fetch when one fetch brings all leaves of a parent: the first of each parent. A leaf
+    is a node that no node has as its parent; the stated flag is not trusted."""
+    x = table(spark, d, "toc_nodes").select("id", F.struct(T.instant(F.col("fetched_at")).alias("t"), T.strip_blanks(F.col("parent_id")).alias("p"), "doc_order_id").alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", "r.p", "r.doc_order_id")
+    leaves = x.join(x.select(F.col("p").alias("up")).distinct(), F.col("id") == F.col("up"), "left_anti")
+    return leaves.groupBy("p").agg(F.min(F.struct("doc_order_id", "id"))["id"].alias("id")).select("id")
 
 
 # --- model code -------------------------------------------------------------------------------
@@ -409,15 +411,39 @@ def recent_of_owner(spark: SparkSession, d: str) -> DataFrame:
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
 
 
+def _errors_sql(kind: str, more: str = "") -> str:
+    empty = ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN '{c} is empty' END" for c in validate.REQUIRED[kind])
+    return f"array_to_string(list_filter([{empty}{more}], lambda x: x IS NOT NULL), '; ') AS errors"
+
+
+def _errors(spark: SparkSession, d: str, name: str, kind: str, key: str) -> DataFrame:
+    return validate.validate(table(spark, d, name), validate.rules_for(kind)).select(key, F.array_join("errors", "; ").alias("errors")).distinct()
+
+
+_NO_ADDRESS = "CASE WHEN {c} IS NOT NULL AND NOT regexp_matches({c}, '^https?://[^\\s/]+') THEN '{n} is no address' END"
+
+
 @R.query(
     "validate_sections",
-    """SELECT DISTINCT entity_id, array_to_string(list_filter([CASE WHEN coalesce(title, '') = '' THEN 'title is empty' END, CASE WHEN source_url IS NOT NULL AND NOT regexp_matches(source_url, '^https?://[^\\s/]+') THEN 'source_url is no address' END,
-      CASE WHEN try_cast(fetched_at AS TIMESTAMPTZ) IS NULL THEN 'fetched_at is no time' END, CASE WHEN coalesce(body_text, '') = '' THEN 'body_text is empty' END], lambda x: x IS NOT NULL), '; ') AS errors FROM code_sections""",
+    "SELECT DISTINCT entity_id, "
+    + _errors_sql("code-section", ", " + ", ".join((_NO_ADDRESS.format(c="source_url", n="source_url"), "CASE WHEN try_cast(fetched_at AS TIMESTAMPTZ) IS NULL THEN 'fetched_at is no time' END", _NO_ADDRESS.format(c="verbatim_text_deep_link", n="deep link"), "CASE WHEN coalesce(body_text, '') = '' THEN 'body_text is empty' END")))
+    + " FROM code_sections",
 )
 def validate_sections(spark: SparkSession, d: str) -> DataFrame:
-    rules = validate.rules_for("code-section")
-    rules = {k: rules[k] for k in ("title is empty", "source_url is no address", "fetched_at is no time")} | {"body_text is empty": validate.filled("body_text")}
-    return validate.validate(table(spark, d, "code_sections"), rules).select("entity_id", F.array_join("errors", "; ").alias("errors")).distinct()
+    return _errors(spark, d, "code_sections", "code-section", "entity_id")
+
+
+@R.query("validate_editions", "SELECT DISTINCT entity_id, " + _errors_sql("code-edition") + " FROM code_editions")
+def validate_editions(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "code_editions", "code-edition", "entity_id")
+
+
+@R.query(
+    "validate_references",
+    "SELECT DISTINCT xref_id, " + _errors_sql("code-cross-reference", ", CASE WHEN coalesce(reference_type NOT IN (" + ", ".join(f"'{t}'" for t in validate.REFERENCE_TYPES) + "), true) THEN 'reference_type is unknown' END") + " FROM cross_refs",
+)
+def validate_references(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "cross_refs", "code-cross-reference", "xref_id")
 
 
 @R.query(

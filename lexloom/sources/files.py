@@ -1,56 +1,24 @@
-"""Files as sources: a data source of markup pages, and pluggable text extraction."""
+"""Files as sources: markup files, and pluggable text extraction."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from glob import glob
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
-from lexloom.sources.markup import READERS
+from lexloom.sources.markup import html_blocks
 
 PAGES = "page string, page_no int, text string, error string"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.pattern, self.layout = options["path"], options.get("layout", "code")
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob(self.pattern))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            html = f.read()
-        for i, (kind, depth, text, anchor, label, _) in enumerate(READERS[self.layout](html)):
-            yield partition.path, i, kind, depth, text, anchor, label
-
-
-class HtmlBlocks(DataSource):
-    """``spark.read.format("lexloom_html").option("layout", "code").load("/folder/*.html")``: the block
-    stream of each file, one task a file, on storage that all executors can read."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "lexloom_html"
-
-    def schema(self) -> str:
-        return "page string, pos bigint, kind string, depth int, text string, anchor string, label string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(HtmlBlocks)
+def read_blocks(spark: SparkSession, path: str, layout: str = "code") -> DataFrame:
+    """Block stream ``(page, pos, kind, depth, text, anchor, label, extra)`` of the markup files that
+    ``path`` names (a folder or pattern on any storage Spark reads). Files are listed and packed into
+    tasks by the engine; bytes that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").load(path)
+    return html_blocks(files.select(F.col("path").alias("page"), F.make_valid_utf8(F.col("content").cast("string")).alias("html")), layout)
 
 
 def extract_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None, ocr: Callable[[bytes], str] | None = None) -> DataFrame:

@@ -47,6 +47,7 @@ class Convention:
     options: dict = field(default_factory=dict)
 
 
+#: Page number at a contents line's end, page marks, lettered and numbered subsections.
 _TAIL = re.compile(r"\s\d{1,4}$")
 _MARKER = re.compile(r"^\s*\d+\s+of\s+\d+\s*$")
 _SUB = re.compile(r"^\(([A-Za-z]+)\)\s+(.+)$")

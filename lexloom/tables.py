@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a new
-    temporary folder where none is set (single-machine sessions such as tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where none is set a
+    local session, such as in tests, gets a new temporary folder; on a cluster that is an error, as
+    executors would not see each other's files."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         told = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told

@@ -140,8 +140,7 @@ def test_references_in_bodies(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.html").write_text(PAGE)
-    files.register(spark)
-    got = spark.read.format("lexloom_html").load(f"{tmp_path}/*.html")
+    got = files.read_blocks(spark, f"file://{tmp_path}/*.html")
     assert got.count() == 8 and got.where("kind = 'definition'").first().label == "Shed"
     raw = spark.createDataFrame([("good", b"one|two"), ("scan", b""), ("bad", b"!"), ("null", None)], "path string, content binary")
     rows = files.extract_pages(raw, lambda b: [x for x in b.decode().split("|")] if b != b"!" else 1 / 0, lambda b: "ocr").collect()

@@ -47,7 +47,7 @@ def test_groups_by_number_and_effective_rules_leave_no_tenant_or_part_out(spark,
     assert set(groups["jurisdiction_tenant"]) == {r[0] for r in con.sql("SELECT DISTINCT jurisdiction_tenant FROM code_sections WHERE section_number IS NOT NULL").fetchall()}
     pairs = con.sql("SELECT count(*) FROM (SELECT DISTINCT a.jurisdiction_tenant, a.section_number, a.entity_id, b.entity_id FROM code_sections a JOIN code_sections b ON a.jurisdiction_tenant = b.jurisdiction_tenant AND a.section_number = b.section_number)").fetchall()[0][0]
     assert groups["n_sections"].sum() == pairs
-    rules = QUERIES["effective_rule_parts"][0](spark, FOLDER).toPandas()
+    rules = QUERIES["effective_rule_all"][0](spark, FOLDER).toPandas()
     n_parts, most = con.sql("SELECT count(*), max(p_partkey) FROM part").fetchall()[0]
     named = rules[~rules["note"].str.startswith("(no base section)")]
     assert most >= 150 and len(named) == 7 * n_parts

@@ -1,5 +1,7 @@
 """Store, search, rules, folds, streams and the facade on small cases."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,22 @@ def test_streams(spark, tmp_path):
     w = streaming.keep_latest(stream.where("key is not null"), f"{tmp_path}/t", ["key"], "at", f"{tmp_path}/c").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert values(streaming.current(spark, f"{tmp_path}/t"), "key", "state") == [("a", "z"), ("b", "y")]
+
+
+def test_table_of_latest_versions_batch_by_batch(spark, tmp_path):
+    """Batches that come again, several versions, and faults that are no first batch."""
+    schema = "key string, at timestamp, state string"
+    batch = lambda *rows: spark.createDataFrame([(k, datetime(2024, 1, d), s) for k, d, s in rows], schema)
+    (tmp_path / "in").mkdir()
+    path, held = f"{tmp_path}/t", {}
+    for n, rows in enumerate([[("a", 1, "x"), ("b", 1, "x")], [("a", 3, "y")], [("a", 2, "late"), ("c", 1, "z")], [("a", 4, "w")]]):
+        batch(*rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        streaming.keep_latest(stream, path, ["key"], "at", f"{tmp_path}/c", buckets=4).trigger(availableNow=True).start().awaitTermination()
+        for k, d, s in rows:
+            held[k] = max(held.get(k, (0, "")), (d, s))
+        assert {r.key: r.state for r in streaming.current(spark, path).collect()} == {k: s for k, (_, s) in held.items()}
+    assert max(map(len, streaming._versions(spark, path).values())) <= 3
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(Exception):
+        streaming.current(spark, f"{tmp_path}/file").count()
