@@ -6,11 +6,13 @@ publication date, fetched_at, adapter, url) is joined once, by a size-checked jo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
+from lexloom.operators.numbering import numbered
 from lexloom.operators.tree import fold_paragraphs
+from lexloom.tables import Scratch
 
 META = "page string, tenant string, name string, edition_label string, published string, fetched_at string, adapter string, url string, access_policy string"
 LINK = ("from_type", "from_id", "to_type", "to_id", "link_type", "context")
@@ -72,11 +74,11 @@ def definitions(tree: DataFrame, secs: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def cross_references(tree: DataFrame, secs: DataFrame, meta: DataFrame) -> DataFrame:
+def cross_references(tree: DataFrame, secs: DataFrame, meta: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """References, numbered in page order. The target id is built from the label and may name no
     record; a reference outside any section takes the page's latest one."""
     x = _contained(tree.where("kind = 'cross-reference'"), secs).join(meta, "page").withColumn("edition_id", _edition(meta))
-    x = x.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("at")))
+    x = numbered(x, ["page"], ["at"], "n", scratch, "references")
     label = F.coalesce("in_number", F.nullif("near_section", F.lit("")), F.concat(F.lit("corpus-"), F.col("n").cast("string")))
     source = F.coalesce("in_id", I.section_id(F.col("edition_id"), label))
     target = F.when(F.coalesce("label", F.lit("")) != "", I.section_id(F.col("edition_id"), F.col("label"))).otherwise("")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
+from lexloom.operators.numbering import numbered
 from lexloom.sources.markup import citations
+from lexloom.tables import Scratch
 
 DOCUMENT = (
     "struct<title:struct<titleId:string,codeAbbrev:string,name:string,year:int,versionStatus:string>,"
@@ -71,13 +73,13 @@ def definitions(flat: DataFrame) -> DataFrame:
     return x.select("doc", eid.alias("entity_id"), "t.term", F.col("t.definition").alias("definition_text"), F.col("entity_id").alias("defining_section_id"), F.when(F.lower(F.trim("chapter.heading")) == "definitions", "code").otherwise("section").alias("scope"))
 
 
-def cross_references(flat: DataFrame) -> DataFrame:
+def cross_references(flat: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """References in order, resolved within the document by normal label (of equal ones the last
     section); unresolved ones stay with an empty target."""
     at = F.struct("chap_at", "sec_at")
     known = flat.groupBy(F.col("doc").alias("kd"), I.normal_label(F.col("s.sectionNumber")).alias("kl")).agg(F.max_by("entity_id", at).alias("to_id"))
     x = flat.select("doc", "edition_id", "chap_at", "sec_at", "entity_id", F.col("s.sectionNumber").alias("number"), F.posexplode("refs").alias("k", "r"))
-    x = x.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("chap_at", "sec_at", "k")))
+    x = numbered(x, ["doc"], ["chap_at", "sec_at", "k"], "n", scratch, "references")
     x = x.join(known, (F.col("doc") == F.col("kd")) & (I.normal_label(F.col("r.target")) == F.col("kl")), "left")
     kind = I.reference_type(F.col("r.context"), I.MODEL_REFERENCE_PHRASES)
     return x.select(
@@ -86,7 +88,7 @@ def cross_references(flat: DataFrame) -> DataFrame:
     )
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Block stream of the documents: chapters at depth 1, sections at depth 2, then content in
     order and defined terms."""
     c = docs.select("doc", F.posexplode("d.chapters").alias("a", "ch"))
@@ -102,4 +104,4 @@ def blocks(docs: DataFrame) -> DataFrame:
     t = s.select("doc", "a", "b", F.size(F.coalesce("s.content", F.array())).alias("m"), F.posexplode("s.definedTerms").alias("k", "t")).withColumn("q", F.col("m") + F.col("k"))
     terms = out(t, place("a", "b", "q"), F.lit("definition"), F.lit(None).cast("int"), F.col("t.definition"), none, F.col("t.term"))
     every = heads.unionByName(secs).unionByName(nodes).unionByName(terms)
-    return every.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("at")).cast("bigint") - 1).drop("at")
+    return numbered(every, ["page"], ["at"], "n", scratch, "blocks").withColumn("pos", F.col("n") - 1).drop("at", "n")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
 from lexloom.operators.graph import resolve_labels
+from lexloom.operators.numbering import numbered
+from lexloom.tables import Scratch
 
 #: How bodies cite sections, in the order of the passes; characters of context.
 PASSES = (r"§\s*([\w.()-]+)", r"(?i)(?<![A-Za-z0-9_])section\s+([\w.()-]+)")
@@ -38,7 +40,7 @@ def label_forms(sections: DataFrame) -> DataFrame:
     return x.groupBy("bucket", "label").agg(F.max_by("entity_id", F.struct("seq", "f", "entity_id")).alias("id"))
 
 
-def sniff(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sniff(sections: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Reference records of ``sections (entity_id, code_edition_id, section_number, body_text, seq)``,
     and the references that name no section of their edition.
 
@@ -58,9 +60,8 @@ def sniff(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = x.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
     probes = x.withColumn("bucket", F.col("code_edition_id")).withColumn("probe_1", F.col("label")).withColumn("probe_2", F.col("normal")).withColumn("probe_3", I.bare_label(F.col("normal")))
     hit = resolve_labels(probes, label_forms(sections)).drop("bucket", "probe_1", "probe_2", "probe_3")
-    n = F.row_number().over(Window.partitionBy("code_edition_id").orderBy("seq", "entity_id", "pass_no", "at"))
     kind = I.reference_type(F.col("reference_context"))
-    good = hit.where("to_id is not null").withColumn("n", n).withColumn("reference_type", kind)
+    good = numbered(hit.where("to_id is not null"), ["code_edition_id"], ["seq", "entity_id", "pass_no", "at"], "n", scratch, "references").withColumn("reference_type", kind)
     xid = F.concat("code_edition_id", F.lit("/"), I.slug(F.col("entity_id")), F.lit("/xref-"), F.col("n").cast("string"))
     records = good.select(
         xid.alias("entity_id"), F.col("entity_id").alias("from_section_id"), F.col("to_id").alias("to_section_id"), "reference_text", "reference_context", "reference_type", I.link_type(F.col("reference_type")).alias("link_type"),

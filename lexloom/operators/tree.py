@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.ids import trim_all
 
+#: Bits of the positions within a part of a page.
+PART_BITS = 24
 #: What a heading of a depth is.
 KINDS = {1: "chapter", 2: "article", 3: "section", 4: "subsection", 5: "subsection", 6: "subsection"}
 #: How headings name their label: by sign, by division word, by the first word alone.
@@ -42,18 +44,26 @@ def build_tree(blocks: DataFrame, schema: dict[int, str] = KINDS) -> DataFrame:
     """``blocks (page, pos, sub, kind, depth, text, anchor, label, extra)`` with, for headings,
     ``node_kind, number, title`` and for all rows ``top`` (the container: latest heading above),
     ``path`` (headings from the outermost to the container as structs) and ``near_section`` (latest
-    section heading of the page, never reset). ``at`` is the order within a page."""
+    section heading of the page, never reset). ``at`` is the order within a page.
+
+    Pages are cut into parts of ``PART`` positions. A window runs over one part; what a part leaves
+    open to the next, one row a part, is carried along the page by a window over those rows.
+    """
     at = F.struct("pos", "sub")
-    b = blocks.withColumn("at", at)
+    b = blocks.withColumn("at", at).withColumn("_part", F.shiftright("pos", PART_BITS))
     head = F.col("kind") == "heading"
     parts = split_heading(F.coalesce("label", "text"))
     b = b.withColumn("node_kind", F.when(head, kind_of(F.col("depth"), schema)).otherwise(F.when(F.col("kind") == "amendment-record", "amendment").otherwise(F.col("kind"))))
     b = b.withColumn("number", F.when(head, parts["label"])).withColumn("title", F.when(head, parts["title"]))
     me = F.struct("at", "depth", F.col("node_kind").alias("kind"), "number", "title", "anchor")
-    w = Window.partitionBy("page").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(head & (F.col("depth") == d), me), ignorenulls=True).over(w).alias(f"s{d}") for d in range(1, 7)]
-    near = F.last(F.when(F.col("node_kind") == "section", F.col("number")), ignorenulls=True).over(w).alias("near_section")
-    b = b.select("*", *last, near)
+    w = Window.partitionBy("page", "_part").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    marks = {f"s{d}": F.when(head & (F.col("depth") == d), me) for d in range(1, 7)} | {"near_section": F.when(F.col("node_kind") == "section", F.struct("number"))}
+    ends = b.where(head).groupBy("page", "_part").agg(*(F.max_by(v, F.when(v.isNotNull(), at)).alias(k) for k, v in marks.items()))
+    along = Window.partitionBy("page").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts_ = b.select("page", "_part").distinct().join(ends, ["page", "_part"], "left")
+    carried = parts_.select("page", "_part", *(F.last(k, ignorenulls=True).over(along).alias(f"_{k}") for k in marks))
+    b = b.select("*", *(F.last(v, ignorenulls=True).over(w).alias(k) for k, v in marks.items())).join(carried, ["page", "_part"])
+    b = b.select(*blocks.columns, "at", "node_kind", "number", "title", *(F.coalesce(k, f"_{k}").alias(k) for k in marks)).withColumn("near_section", F.col("near_section.number"))
     # A heading is still open when no later one is as shallow or shallower, and shallower than the row.
     still = []
     for d in range(1, 7):

@@ -10,7 +10,7 @@ from lexloom.functions import text as T
 from lexloom.operators import atomize, fold, migrate, modelcode, references, store, summaries, tree, validate
 from lexloom.plans import Registry
 from lexloom.sources import markup, pages
-from lexloom.tables import table
+from lexloom.tables import Scratch, table
 
 R = Registry()
 S, J = T.sql, I.sql
@@ -106,33 +106,36 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _page_tree(spark: SparkSession, d: str) -> DataFrame:
-    html = markup.assemble_html(_section_docs(spark, d))
-    return tree.build_tree(markup.with_references(markup.html_blocks(html)))
+def _page_tree(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
+    """The tree of each page is written once, as several kinds of record are read off it."""
+    blocks = markup.html_blocks(markup.fragments(_section_docs(spark, d), scratch))
+    return scratch.save(tree.build_tree(markup.with_references(blocks)), "tree")
 
 
 @R.query("html_blocks")
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return markup.html_blocks(markup.assemble_html(_section_docs(spark, d))).select("page", "pos", "kind", "depth", "text", "anchor")
+    return markup.html_blocks(markup.fragments(_section_docs(spark, d), Scratch(spark, "pages"))).select("page", "pos", "kind", "depth", "text", "anchor")
 
 
 @R.query("page_sections")
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     """Markup pages to blocks, trees and section records, end to end."""
-    return atomize.sections(_page_tree(spark, d), _meta(spark, d)).select("entity_id", "code_edition_id", "section_number", "title", "subsection_path", "content_hash")
+    return atomize.sections(_page_tree(spark, d, Scratch(spark, "pages")), _meta(spark, d)).select("entity_id", "code_edition_id", "section_number", "title", "subsection_path", "content_hash")
 
 
 @R.query("page_links")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _page_tree(spark, d), _meta(spark, d)
+    scratch = Scratch(spark, "pages")
+    t, m = _page_tree(spark, d, scratch), _meta(spark, d)
     secs = atomize.sections(t, m)
     amends = atomize.amendments(t, secs, m)
-    return atomize.links(secs, atomize.definitions(t, secs, m), atomize.cross_references(t, secs, m), amends, atomize.corpora(m))
+    return atomize.links(secs, atomize.definitions(t, secs, m), atomize.cross_references(t, secs, m, scratch), amends, atomize.corpora(m))
 
 
 @R.query("page_editions")
 def page_editions(spark: SparkSession, d: str) -> DataFrame:
-    t, m = _page_tree(spark, d), _meta(spark, d)
+    scratch = Scratch(spark, "pages")
+    t, m = _page_tree(spark, d, scratch), _meta(spark, d)
     secs = atomize.sections(t, m)
     return atomize.editions(secs, atomize.amendments(t, secs, m), m).select("entity_id", "effective_from", F.size("section_ids").alias("n_sections"), "content_hash")
 
@@ -218,7 +221,7 @@ def model_code_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("model_code_references")
 def model_code_references(spark: SparkSession, d: str) -> DataFrame:
-    return modelcode.cross_references(_flat(spark, d))
+    return modelcode.cross_references(_flat(spark, d), Scratch(spark, "model"))
 
 
 @R.query("model_code_definitions")
@@ -228,7 +231,7 @@ def model_code_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("model_code_blocks")
 def model_code_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return modelcode.blocks(_model_documents(spark, d)).select("page", "pos", "kind", "depth", "text", "anchor", "label")
+    return modelcode.blocks(_model_documents(spark, d), Scratch(spark, "model")).select("page", "pos", "kind", "depth", "text", "anchor", "label")
 
 
 # --- migration --------------------------------------------------------------------------------

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
+from lexloom.operators.numbering import numbered
+from lexloom.tables import Scratch
 
 BLOCKS = "page string, pos bigint, kind string, depth int, text string, anchor string, label string, extra map<string,string>"
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
@@ -137,20 +139,25 @@ def section_page(html: str) -> list[tuple]:
     return out
 
 
+#: Distance of the positions of two parts of a page.
+PART = 1 << 24
 READERS = {"code": code_page, "section": section_page}
 
 
 def html_blocks(pages: DataFrame, layout: str = "code") -> DataFrame:
     """Block stream of ``pages (page string, html string)``. A null page gives no blocks. References
-    stand in their own rows right after their paragraph; see ``with_references``."""
+    stand in their own rows right after their paragraph; see ``with_references``. Where there is a
+    column ``part`` a page comes in several rows, numbered from 1: each is read by itself, and its
+    blocks are numbered from ``part`` times ``PART`` on."""
     read = READERS[layout]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, i, *block) for p, html in zip(b["page"], b["html"]) for i, block in enumerate(read(html or ""))]
+            rows = [(p, at * PART + i, *block) for p, at, html in zip(b["page"], b["part"], b["html"]) for i, block in enumerate(read(html or ""))]
             yield pd.DataFrame(rows, columns=["page", "pos", "kind", "depth", "text", "anchor", "label", "extra"]).astype({"depth": "Int32"})
 
-    return pages.select("page", "html").mapInPandas(run, BLOCKS)
+    part = F.col("part").cast("bigint") if "part" in pages.columns else F.lit(0).cast("bigint")
+    return pages.select("page", part.alias("part"), "html").mapInPandas(run, BLOCKS)
 
 
 #: How citations look in paragraphs of HTML, of page text (three passes in this
@@ -226,10 +233,23 @@ def _escape(c: Column, quote: bool = False) -> Column:
     return c
 
 
+def fragments(docs: DataFrame, scratch: Scratch | None) -> DataFrame:
+    """``(page, part, html)`` from ``docs`` as ``assemble_html`` takes them: the same page as parts
+    that are each one document, the first of a node after the node's heading. No page is ever one
+    value, so that it may hold any number of documents."""
+    some = docs.where("coalesce(content, '') != ''")
+    nodes = docs.groupBy("page", "node_ord", "node_id").agg(F.any_value("node_heading").alias("node_heading"))
+    heading = F.concat(F.lit('<h2 id="'), _escape(F.col("node_id"), True), F.lit('">'), _escape(F.col("node_heading")), F.lit("</h2>"))
+    body = F.concat(F.lit('<h3 id="'), _escape(F.col("doc_id"), True), F.lit('">'), _escape(F.col("title")), F.lit("</h3>\n"), "content")
+    none = F.lit(None).cast(dict(docs.dtypes)["doc_ord"])
+    rows = nodes.select("page", "node_ord", F.lit(0).alias("rank"), none.alias("doc_ord"), heading.alias("html")).unionByName(some.select("page", "node_ord", F.lit(1).alias("rank"), "doc_ord", body.alias("html")))
+    return numbered(rows, ["page"], ["node_ord", "rank", "doc_ord", "html"], "part", scratch, "fragments").select("page", "part", "html")
+
+
 def assemble_html(docs: DataFrame) -> DataFrame:
     """``(page, html)`` from ``docs (page, node_ord, node_id, node_heading, doc_ord, doc_id, title,
     content)``: a level-2 heading per node, a level-3 heading and the content per document with
-    content. Pages are bounded by their source, so ordering within one is an array sort."""
+    content. The page is one value; for those without bound see ``fragments``."""
     body = F.concat(F.lit('<h3 id="'), _escape(F.col("doc_id"), True), F.lit('">'), _escape(F.col("title")), F.lit("</h3>\n"), "content")
     per_node = docs.groupBy("page", "node_ord", "node_id", "node_heading").agg(F.array_sort(F.collect_list(F.when(F.coalesce("content", F.lit("")) != "", F.struct("doc_ord", body.alias("h"))))).alias("d"))
     node = F.concat(F.lit('<h2 id="'), _escape(F.col("node_id"), True), F.lit('">'), _escape(F.col("node_heading")), F.lit("</h2>"), F.array_join(F.transform("d", lambda s: s["h"]), "\n"))

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from lexloom.operators import atomize, migrate, modelcode, references, store, tree
+from lexloom.operators.numbering import numbered
 from lexloom.sources import files, markup, pages
+from lexloom.tables import Scratch
 
 PAGE = """<html><head><meta name="publication-date" content="2021-05-01"><meta name="jurisdiction-name" content="Rivertown"></head><body>
 <h1 id="c1">Chapter 1 General</h1><h3 id="s1">§ 1.01 — Purpose</h3><p>This code applies. See § 1.02(a) for terms.<p data-subsection="(a)">Second paragraph.
@@ -157,3 +159,22 @@ def test_units_ranges_and_status(spark):
     q = spark.createDataFrame([("q1", "draft", None, None), ("q2", "draft", "old", "t0")], "query_id string, status string, human_reviewed_by string, human_reviewed_at string")
     u = spark.createDataFrame([("q1", "approved", "me", "t1"), ("q2", "rejected", None, "t2"), ("none", "x", "y", "z")], "query_id string, status string, reviewer string, reviewed_at string")
     assert sorted(tuple(x) for x in store.set_status(q, u, "query_id").collect()) == [("q1", "approved", "me", "t1"), ("q2", "rejected", "old", "t0")]
+
+
+def test_numbers_of_large_groups(spark):
+    """Numbers along sorted partitions are those of one window; null keys are a group."""
+    x = spark.range(0, 3000, 1, 5).selectExpr("if(id % 3 = 0, 'hot', if(id % 50 = 1, null, concat('g', id % 7))) as g", "(id * 7919) % 3000 as o", "id as payload")
+    got = numbered(x, ["g"], ["o"], "n", Scratch(spark, "t"))
+    want = numbered(x, ["g"], ["o"], "n", None)
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert numbered(x.limit(0), ["g"], ["o"], "n", Scratch(spark, "t")).count() == 0
+
+
+def test_parts_of_a_page_make_the_same_tree(spark):
+    """Read in parts or as one value, a page gives the same headings over each block."""
+    docs = [("p", n, f"n{n}", f"Article {n}", i, f"d{n}{i}", f"§ {n}-{i} — Uses", f"<p>(a) See § {n}-1 of it.<p>More." if i % 3 else "") for n in range(3) for i in range(5)]
+    df = spark.createDataFrame(docs, "page string, node_ord int, node_id string, node_heading string, doc_ord int, doc_id string, title string, content string")
+    shape = lambda t: [(r.kind, r.text, [h.title for h in r.path], r.near_section) for r in t.orderBy("pos", "sub").collect()]
+    whole = tree.build_tree(markup.with_references(markup.html_blocks(markup.assemble_html(df))))
+    parts = tree.build_tree(markup.with_references(markup.html_blocks(markup.fragments(df, Scratch(spark, "t")))))
+    assert shape(parts) == shape(whole) and len(shape(whole)) > 30
