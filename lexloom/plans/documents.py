@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import ids as I
 from lexloom.functions import text as T
 from lexloom.operators import atomize, fold, migrate, modelcode, references, store, summaries, tree, validate
-from lexloom.plans import Registry
+from lexloom.plans import Registry, twins
 from lexloom.sources import markup, pages
 from lexloom.tables import Scratch, table
 
@@ -112,18 +112,18 @@ def _page_tree(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return scratch.save(tree.build_tree(markup.with_references(blocks)), "tree")
 
 
-@R.query("html_blocks")
+@R.query("html_blocks", twins.HTML_BLOCKS)
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return markup.html_blocks(markup.fragments(_section_docs(spark, d), Scratch(spark, "pages"))).select("page", "pos", "kind", "depth", "text", "anchor")
 
 
-@R.query("page_sections")
+@R.query("page_sections", twins.PAGE_SECTIONS)
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     """Markup pages to blocks, trees and section records, end to end."""
     return atomize.sections(_page_tree(spark, d, Scratch(spark, "pages")), _meta(spark, d)).select("entity_id", "code_edition_id", "section_number", "title", "subsection_path", "content_hash")
 
 
-@R.query("page_links")
+@R.query("page_links", twins.PAGE_LINKS)
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "pages")
     t, m = _page_tree(spark, d, scratch), _meta(spark, d)
@@ -132,7 +132,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return atomize.links(secs, atomize.definitions(t, secs, m), atomize.cross_references(t, secs, m, scratch), amends, atomize.corpora(m))
 
 
-@R.query("page_editions")
+@R.query("page_editions", twins.PAGE_EDITIONS)
 def page_editions(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "pages")
     t, m = _page_tree(spark, d, scratch), _meta(spark, d)
@@ -214,22 +214,22 @@ def _flat(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.flat_sections(_model_documents(spark, d), "model", "https://codes.example/content/")
 
 
-@R.query("model_code_sections")
+@R.query("model_code_sections", twins.MODEL_SECTIONS)
 def model_code_sections(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.sections(_flat(spark, d)).select("entity_id", "section_number", "title", "body_text", "verbatim_text_deep_link", "footed", "content_hash")
 
 
-@R.query("model_code_references")
+@R.query("model_code_references", twins.MODEL_REFERENCES)
 def model_code_references(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.cross_references(_flat(spark, d), Scratch(spark, "model"))
 
 
-@R.query("model_code_definitions")
+@R.query("model_code_definitions", twins.MODEL_DEFINITIONS)
 def model_code_definitions(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.definitions(_flat(spark, d)).select("entity_id", "term", "definition_text", "defining_section_id", "scope")
 
 
-@R.query("model_code_blocks")
+@R.query("model_code_blocks", twins.MODEL_BLOCKS)
 def model_code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.blocks(_model_documents(spark, d), Scratch(spark, "model")).select("page", "pos", "kind", "depth", "text", "anchor", "label")
 
@@ -335,11 +335,16 @@ def section_samples(spark: SparkSession, d: str) -> DataFrame:
     return x.where("place <= 25").withColumn("place", F.col("place").cast("bigint"))
 
 
-@R.query("xref_records")
+@R.query("xref_records", twins.XREF_RECORDS)
 def xref_records(spark: SparkSession, d: str) -> DataFrame:
-    """References in bodies as records, with context, kind and link, numbered within their edition."""
-    s = table(spark, d, "code_sections").groupBy("entity_id").agg(F.max_by(F.struct("code_edition_id", "section_number", "body_text"), F.struct(_us("fetched_at"), F.col("content_hash"))).alias("r"), F.min(_us("fetched_at")).alias("seq"))
-    return references.sniff(s.select("entity_id", "r.*", "seq"))[0]
+    """References in bodies as records, with context, kind and link, numbered within their edition.
+    References that ingestion kept are bodies of their own, with their context."""
+    us = _us("fetched_at")
+    s = table(spark, d, "code_sections").groupBy("entity_id").agg(F.max_by(F.struct("code_edition_id", "section_number", "body_text"), F.struct(us, F.col("content_hash"))).alias("r"), F.min(us).alias("seq"))
+    own = F.concat(F.lit("xref/"), F.col("xref_id").cast("string")).alias("entity_id")
+    c = table(spark, d, "cross_refs").groupBy(own, "code_edition_id", F.concat_ws(": ", "reference_text", "reference_context").alias("body_text")).agg(F.min(us).alias("seq"))
+    bodies = s.select("entity_id", "r.*", "seq").unionByName(c.withColumn("section_number", F.lit(None).cast("string")))
+    return references.sniff(bodies, Scratch(spark, "references"))[0]
 
 
 @R.query("legacy_sources_by_name", "SELECT id, source_name, label, source_type, license_type FROM legacy_sources ORDER BY source_name")
