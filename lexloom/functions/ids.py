@@ -80,6 +80,11 @@ def url_component(c: Column) -> Column:
     return x
 
 
+def file_slug(url: Column) -> Column:
+    """Name of a document from its address: without host and extension, as a slug."""
+    return slug(F.regexp_replace(F.lower(F.regexp_replace(url, "(?i)^https?://[^/]+/", "")), r"\.[a-z0-9]+$", ""))
+
+
 def effective_from(label: Column, fallback: Column) -> Column:
     """First day named by an edition label: ``m/yy`` or ``m/yyyy`` (month held to 1-12), else a year
     19xx or 20xx, else the fallback; as ISO text."""
@@ -132,6 +137,10 @@ class sql:
     def slug(x: str) -> str:
         return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 
+    @staticmethod
+    def file_slug(x: str) -> str:
+        return sql.slug(rf"regexp_replace(lower(regexp_replace({x}, '^https?://[^/]+/', '', 'i')), '\.[a-z0-9]+$', '')")
+
     @staticmethod
     def normal_label(x: str) -> str:
         return sql.trim_all(rf"regexp_replace({x}, '\([^)]*\)', '', 'g')")

@@ -40,3 +40,13 @@ def resolve_labels(refs: DataFrame, targets: DataFrame) -> DataFrame:
     hit = probes.join(targets.select(F.col("bucket").alias("_b"), F.col("label").alias("_l"), F.col("id").alias("_id")), (F.col("bucket") == F.col("_b")) & (F.col("_label") == F.col("_l")), "left")
     best = F.min_by(F.col("_id"), F.when(F.col("_id").isNotNull(), F.col("_p")))
     return hit.groupBy(*refs.columns).agg(best.alias("to_id"))
+
+
+def shares(edges: DataFrame, workspace: str | None = None, user: str | None = None) -> DataFrame:
+    """Share edges ``(did, workspace_did, from_user_did, to_user_did, shared_at)`` of a workspace, of a
+    user on either side, or of both; newest first, of equal times by id."""
+    if workspace is not None:
+        edges = edges.where(F.col("workspace_did") == workspace)
+    if user is not None:
+        edges = edges.where((F.col("from_user_did") == user) | (F.col("to_user_did") == user))
+    return edges.orderBy(F.desc("shared_at"), "did")

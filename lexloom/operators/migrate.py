@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
+from lexloom.operators.references import sniff
+from lexloom.operators.store import keep_first
+from lexloom.tables import Scratch
 
 
 def transform(rows: DataFrame, sources: DataFrame, adapters: dict[str, str] | None = None) -> DataFrame:
@@ -62,6 +65,42 @@ def corpus_rollup(editions: DataFrame) -> DataFrame:
     )
 
 
+def run(rows: DataFrame, sources: DataFrame, scratch: Scratch, books: list[str] | None = None) -> dict[str, DataFrame]:
+    """A whole migration: ``sections`` (of writes with one id the earliest is kept), ``editions``,
+    ``corpora``, ``references``, ``links``, ``status`` and a ``report`` of one row."""
+    if books is not None:
+        rows = rows.where(F.col("code_book").isin(books))
+    written = scratch.save(transform(rows, sources), "written")
+    order = [F.col("fetched_at"), F.col("legacy_id")]
+    secs = scratch.save(keep_first(written, ["entity_id"], order), "sections")
+    editions = scratch.save(edition_rollup(secs, order), "editions")
+    corpora = scratch.save(corpus_rollup(editions), "corpora")
+    refs, unresolved = sniff(secs.select("entity_id", "code_edition_id", "section_number", "body_text", F.unix_micros("fetched_at").alias("seq")), scratch)
+    refs = scratch.save(refs, "references_found")
+    link = lambda df, a, b, kind: df.select(F.lit(a[0]).alias("from_type"), a[1].alias("from_id"), F.lit(b[0]).alias("to_type"), b[1].alias("to_id"), kind.alias("link_type"))
+    c = F.col
+    links = (
+        link(secs, ("code-edition", c("code_edition_id")), ("code-section", c("entity_id")), F.lit("contains"))
+        .unionByName(link(editions, ("jurisdiction-corpus", c("jurisdiction_tenant")), ("code-edition", c("code_edition_id")), F.lit("contains")))
+        .unionByName(link(refs, ("code-section", c("from_section_id")), ("code-section", c("to_section_id")), c("link_type")))
+    )
+    counted = secs.groupBy("jurisdiction_tenant").agg(F.count("*").alias("atom_count"))
+    status = corpora.join(counted, "jurisdiction_tenant").select(
+        "jurisdiction_tenant", I.did(F.lit("code-edition"), c("current_edition_id")).alias("current_edition_did"), F.lit("not-evaluated").alias("quality_bar"), "atom_count", "last_refreshed_at", F.lit("clean").alias("drift_status")
+    )
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    parts = {
+        "sections_transformed": n(secs), "section_collisions": written.agg((F.count("*") - F.count_distinct("entity_id")).alias("n")), "editions_synthesized": n(editions), "corpora_synthesized": n(corpora),
+        "cross_references_resolved": n(refs), "cross_references_unresolved_skipped": n(unresolved), "links_emitted": n(links),
+    }
+    named = reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(k).alias("k"), c("n").cast("bigint").alias("n")) for k, df in parts.items()))
+    dropped = drop_counts(rows)
+    named = named.unionByName(dropped.select(F.stack(F.lit(2), F.lit("sections_dropped_null_section"), "dropped_null_section", F.lit("sections_dropped_empty_body"), "dropped_empty_body").alias("k", "n")))
+    names = [*parts, "sections_dropped_null_section", "sections_dropped_empty_body"]
+    report = named.agg(*(F.max(F.when(c("k") == k, c("n"))).alias(k) for k in names))
+    return {"sections": secs, "editions": editions, "corpora": corpora, "references": refs, "links": links, "status": status, "report": report}
+
+
 def run_units(units: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
     """Union of the frames of ingest units, with ``unit_id``, and why others are missing. A unit that
     raises or gives no rows is left out and stops none of the others."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +60,45 @@ def summary() -> Column:
     return F.concat_ws(" ", head, F.when(F.size(facts) > 0, F.concat(F.lit("Structure: "), F.array_join(facts, "; "), F.lit("."))), F.concat(F.lit("The verbatim text is published elsewhere; see "), "link", F.lit(".")))
 
 
+def verbatim() -> Column:
+    """Text of a section, a blank line between its pieces; for a hook only, never stored."""
+    prose = F.filter(F.coalesce("s.content", F.array()), lambda n: n["kind"] == "prose")
+    return F.array_join(F.transform(prose, lambda n: n["text"]), "\n\n")
+
+
+def reasoned(flat: DataFrame, hook: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """``flat`` with ``body`` by a hook in place of the structural summary. The hook gets Arrow batches
+    with number, heading, chapter, link, labels and the verbatim text, and gives one text a row."""
+    facts = F.struct(
+        F.col("s.sectionNumber").alias("section_number"), F.col("s.heading").alias("heading"), F.col("chapter.heading").alias("chapter"), "edition_label", "link",
+        F.transform("refs", lambda r: r["target"]).alias("references"), verbatim().alias("text"),
+    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"hd": b["hd"], "hc": b["hc"], "hs": b["hs"], "body": hook(b).astype("string")})
+
+    asked = flat.select(F.col("doc").alias("hd"), F.col("chap_at").alias("hc"), F.col("sec_at").alias("hs"), facts.alias("f")).select("hd", "hc", "hs", "f.*")
+    said = asked.mapInPandas(run, "hd string, hc int, hs int, body string")
+    return flat.join(said, (F.col("doc") == F.col("hd")) & (F.col("chap_at") == F.col("hc")) & (F.col("sec_at") == F.col("hs"))).drop("hd", "hc", "hs")
+
+
+def edition(docs: DataFrame, secs: DataFrame, tenant: str, viewer: str, effective_from: str | None = None) -> DataFrame:
+    """Edition records of documents with their section records; they hold no amendments, and count
+    from the first day of their year where no other day is given."""
+    label = F.concat(F.col("d.title.year").cast("string"), F.lit(" "), "d.title.name")
+    e = docs.select("doc", label.alias("edition_label"), I.edition_id(F.lit(tenant), label).alias("entity_id"), F.col("d.title.year").cast("string").alias("year"), F.concat(F.lit(viewer), "d.title.codeAbbrev", F.col("d.title.year").cast("string")).alias("source_url")).dropDuplicates(["doc"])
+    held = secs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chap_at", "sec_at", "entity_id", "content_hash"))).alias("l"))
+    some = lambda f: F.coalesce(F.transform("l", lambda x: x[f]), F.array().cast("array<string>"))
+    since = F.lit(effective_from) if effective_from else F.concat("year", F.lit("-01-01"))
+    return e.join(held, "doc", "left").select(
+        "entity_id", F.lit(tenant).alias("jurisdiction_tenant"), "edition_label", since.alias("effective_from"), some("entity_id").alias("section_ids"), F.array().cast("array<string>").alias("amendment_ids"), "source_url",
+        I.content_hash(F.lit("code-edition"), F.col("entity_id"), F.col("edition_label"), F.array_join(some("content_hash"), "")).alias("content_hash"),
+    )
+
+
 def sections(flat: DataFrame) -> DataFrame:
-    x = flat.withColumn("body", summary())
+    """Section records, with the structural summary as body, or the ``body`` that ``reasoned`` gave."""
+    x = flat if "body" in flat.columns else flat.withColumn("body", summary())
     return x.select(
         "doc", "chap_at", "sec_at", "entity_id", F.col("edition_id").alias("code_edition_id"), F.col("s.sectionNumber").alias("section_number"), F.col("s.heading").alias("title"), F.col("body").alias("body_text"),
         F.col("link").alias("verbatim_text_deep_link"), (F.length("link") > 0).alias("footed"),

@@ -89,3 +89,16 @@ def set_status(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
         *(c for c in rows.columns if c not in ("status", "human_reviewed_by", "human_reviewed_at")), F.coalesce("_s", "status").alias("status"),
         F.when(by, F.col("_r")).otherwise(F.col("human_reviewed_by")).alias("human_reviewed_by"), F.when(by, F.col("_a")).otherwise(F.col("human_reviewed_at")).alias("human_reviewed_at"),
     )
+
+
+def jobs_of(jobs: DataFrame, state: str | None = None, tenant: str | None = None) -> DataFrame:
+    """Job rows of a state, of a tenant, or of both."""
+    if state is not None:
+        jobs = jobs.where(F.col("state") == state)
+    return jobs if tenant is None else jobs.where(F.col("jurisdiction_tenant") == tenant)
+
+
+def pins(writes: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """A table addressed by content: of all writes of a content id the first is held. Asking for an id
+    is a look-up by key, and it is pinned when there is a row."""
+    return keep_first(writes, [key], order)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids as I
 from lexloom.functions import text as T
-from lexloom.operators import atomize, fold, migrate, modelcode, references, store, summaries, tree, validate
+from lexloom.operators import atomize, curated, fold, graph, migrate, modelcode, references, store, summaries, tree, validate
 from lexloom.plans import Registry, twins
-from lexloom.sources import markup, pages
+from lexloom.sources import dumps, markup, pages
 from lexloom.tables import Scratch, table
 
 R = Registry()
@@ -234,6 +234,108 @@ def model_code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return modelcode.blocks(_model_documents(spark, d), Scratch(spark, "model")).select("page", "pos", "kind", "depth", "text", "anchor", "label")
 
 
+@R.query("model_code_editions", twins.MODEL_EDITIONS)
+def model_code_editions(spark: SparkSession, d: str) -> DataFrame:
+    docs, viewer = _model_documents(spark, d), "https://codes.example/content/"
+    secs = modelcode.sections(modelcode.flat_sections(docs, "model", viewer))
+    return modelcode.edition(docs, secs, "model", viewer).select("entity_id", "edition_label", "effective_from", F.size("section_ids").alias("n_sections"), "content_hash")
+
+
+@R.query("model_code_hook", twins.MODEL_HOOK)
+def model_code_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies by a hook over the verbatim text, here one that tells its length."""
+    hook = lambda b: b["section_number"] + ": " + b["text"].str.len().astype("string") + " characters"
+    return modelcode.sections(modelcode.reasoned(_flat(spark, d), hook)).select("entity_id", "body_text")
+
+
+# --- dumps of a library -----------------------------------------------------------------------
+
+_ORDINANCES = "(?i)ordinances|supplement"
+
+
+@R.query(
+    "product_choice",
+    f"""WITH e AS (SELECT entity_id, jurisdiction_tenant, edition_label FROM code_editions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {S.instant('fetched_at')}, content_hash) = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY jurisdiction_tenant ORDER BY entity_id) AS k FROM e)
+    SELECT jurisdiction_tenant AS client, cast(k AS INT) AS product_id, edition_label AS product_name FROM p WHERE regexp_matches(edition_label, '{_ORDINANCES}') QUALIFY row_number() OVER (PARTITION BY jurisdiction_tenant ORDER BY k) = 1""",
+)
+def product_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Editions of each tenant as a library's product list, and the product that is walked."""
+    e = table(spark, d, "code_editions").groupBy("entity_id").agg(F.min_by(F.struct("jurisdiction_tenant", "edition_label"), F.struct(_us("fetched_at"), F.col("content_hash"))).alias("r"))
+    l = e.groupBy("r.jurisdiction_tenant").agg(F.array_sort(F.collect_list(F.struct("entity_id", "r.edition_label"))).alias("l"))
+    codes = F.transform("l", lambda x, i: F.struct(x["edition_label"].alias("productName"), (i + 1).alias("productId")))
+    return dumps.choose_products(l.select(F.col("jurisdiction_tenant").alias("client"), F.to_json(codes).alias("body")), _ORDINANCES)
+
+
+@R.query("latest_jobs", f"SELECT jurisdiction_tenant AS product_id, report_id AS job_id, edition_entity_id AS name FROM ingest_reports QUALIFY row_number() OVER (PARTITION BY jurisdiction_tenant ORDER BY {S.instant('run_at')} DESC, report_id DESC) = 1")
+def latest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "ingest_reports").select(F.col("jurisdiction_tenant").alias("product_id"), F.col("report_id").alias("job_id"), F.col("edition_entity_id").alias("name"), _us("run_at").alias("w"))
+    return dumps.latest_jobs(jobs, [F.col("w"), F.col("job_id")])
+
+
+@R.query(
+    "envelope_docs",
+    """WITH s AS (SELECT DISTINCT entity_id, code_edition_id, title, body_text FROM code_sections WHERE coalesce(body_text, '') <> '')
+    SELECT code_edition_id AS page, entity_id AS doc_id, count(*) AS n, min(length(body_text)) AS least FROM s GROUP BY 1, 2""",
+)
+def envelope_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Content envelopes as JSON, one a distinct text of a section, to documents."""
+    s = table(spark, d, "code_sections").select("entity_id", "code_edition_id", "title", "body_text").distinct()
+    doc = F.struct(F.col("entity_id").alias("Id"), F.col("title").alias("Title"), F.col("body_text").alias("Content"), F.lit(1).alias("DocOrderId"))
+    env = s.select(F.md5(F.concat_ws("|", "entity_id", "body_text", "title")).alias("node_id"), F.concat_ws("#", "code_edition_id", F.md5(F.concat_ws("|", "title", "body_text"))).alias("page"), F.lit(0).alias("node_ord"), F.lit("Body").alias("node_heading"), F.to_json(F.struct(F.array(doc).alias("Docs"))).alias("body"))
+    x = dumps.envelope_docs(env)
+    return x.groupBy(F.substring_index("page", "#", 1).alias("page"), "doc_id").agg(F.count("*").alias("n"), F.min(F.length("content")).cast("bigint").alias("least"))
+
+
+@R.query("pages_or_placeholder", "SELECT DISTINCT entity_id AS page, CASE WHEN trim(coalesce(body_text, '')) = '' THEN '<html><body><!-- page unreachable --></body></html>' ELSE body_text END AS html FROM code_sections")
+def pages_or_placeholder(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "code_sections").select(F.col("entity_id").alias("page"), F.col("body_text").alias("html"))
+    return dumps.with_placeholder(x, "page unreachable").distinct()
+
+
+@R.query("file_slugs", f"SELECT DISTINCT source_url, {J.file_slug('source_url')} AS slug FROM code_sections WHERE source_url IS NOT NULL")
+def file_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "code_sections").where("source_url is not null").select("source_url", I.file_slug(F.col("source_url")).alias("slug")).distinct()
+
+
+# --- curated queries --------------------------------------------------------------------------
+
+
+@R.query(
+    "curated_compile",
+    f"""WITH x AS (SELECT DISTINCT id, jurisdiction_key AS t, code_book AS b, edition AS e, section_number AS s, section_title AS q FROM legacy_atoms), n AS (SELECT *, row_number() OVER (ORDER BY id, s NULLS FIRST, q NULLS FIRST) AS n FROM x)
+    SELECT 'seed-' || t || '-' || b || '-' || n AS query_id, t AS jurisdiction_tenant, q AS query_text, 'did:lex:code-section:' || t || '/' || {J.slug("b || '-' || e")} || '/' || {J.slug(J.normal_label('s'))} AS expected_atom_did, 'retrieval' AS query_type, 'draft' AS status FROM n""",
+)
+def curated_compile(spark: SparkSession, d: str) -> DataFrame:
+    """A draft for each legacy row, asking for its title."""
+    x = table(spark, d, "legacy_atoms").select("id", F.col("jurisdiction_key").alias("tenant"), F.col("code_book").alias("book"), "edition", "section_number", F.col("section_title").alias("query_text"), F.lit(None).cast("string").alias("query_type")).distinct()
+    return curated.compile_drafts(x, ["id", "section_number", "query_text"], Scratch(spark, "curated"))
+
+
+@R.query(
+    "curated_author",
+    """WITH h AS (SELECT DISTINCT jurisdiction_tenant, id, heading FROM toc_nodes WHERE heading IS NOT NULL) SELECT jurisdiction_tenant, count(*) AS generated, count(*) AS upserted, count(*) AS awaiting_review FROM h WHERE length(heading) >= 12 GROUP BY 1""",
+)
+def curated_author(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts by a hook that asks for every heading of twelve characters or more."""
+
+    def ask(lines):
+        lines = lines[lines["heading"].str.len() >= 12]
+        return lines.assign(query_text="Where is: " + lines["heading"], query_type="retrieval")
+
+    x = table(spark, d, "toc_nodes").where("heading is not null").select(F.col("jurisdiction_tenant").alias("tenant"), "id", "heading").distinct()
+    x = x.select("tenant", F.xxhash64("id", "heading").alias("line_no"), "heading")
+    return curated.author_counts(curated.author(x, ask, True, Scratch(spark, "author")))
+
+
+@R.query("shares_of", "SELECT 'd' || event_id AS did, 'u' || user_id AS from_user_did, 'u' || (event_id % 97) AS to_user_did FROM events WHERE user_id = 5 OR event_id % 97 = 5")
+def shares_of(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with a user on either side; events stand in for shares."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    e = table(spark, d, "events").select(text("d", F.col("event_id")).alias("did"), F.lit("w").alias("workspace_did"), text("u", F.col("user_id")).alias("from_user_did"), text("u", F.col("event_id") % 97).alias("to_user_did"), F.col("ts").alias("shared_at"))
+    return graph.shares(e, "w", "u5").select("did", "from_user_did", "to_user_did")
+
+
 # --- migration --------------------------------------------------------------------------------
 
 _EDITION = f"jurisdiction_key || '/' || {J.slug("code_book || '-' || edition")}"
@@ -282,6 +384,16 @@ def legacy_drop_counts(spark: SparkSession, d: str) -> DataFrame:
     return migrate.drop_counts(table(spark, d, "legacy_atoms"))
 
 
+@R.query(
+    "legacy_run_report",
+    twins.run_report("legacy_rows AS (SELECT DISTINCT id, source_id, jurisdiction_key, code_book, edition, section_number, section_title, body, source_url, fetched_at FROM legacy_atoms), " + _LEGACY),
+)
+def legacy_run_report(spark: SparkSession, d: str) -> DataFrame:
+    """A whole migration and its report."""
+    rows = table(spark, d, "legacy_atoms").select("id", "source_id", "jurisdiction_key", "code_book", "edition", "section_number", "section_title", "body", "source_url", "fetched_at").distinct()
+    return migrate.run(rows, table(spark, d, "legacy_sources"), Scratch(spark, "migration"))["report"]
+
+
 _EDITIONS = f"""ed AS (SELECT jurisdiction_key AS t, ed, count(*) AS n, min(fetched_at) AS lo, max(fetched_at) AS hi, arg_min(adapter, (fetched_at, id)) AS adapter, min((fetched_at, id)) AS first, string_agg(eid, '' ORDER BY fetched_at, id) AS ids,
   max(edition) AS label FROM lg GROUP BY 1, 2)"""
 

@@ -109,7 +109,8 @@ def _pass(no: int, pattern: str) -> str:
 
 
 _START = f"greatest(0, st - {AROUND})"
-XREF_RECORDS = rf"""WITH {_BODIES}, m AS ({_pass(0, r'§\s*([\w.()-]+)')} UNION ALL {_pass(1, r'(?i)\bsection\s+([\w.()-]+)')}),
+#: References of table ``bodies``: all (r), and the numbered records of those that resolve (n).
+_REFERENCES = rf"""m AS ({_pass(0, r'§\s*([\w.()-]+)')} UNION ALL {_pass(1, r'(?i)\bsection\s+([\w.()-]+)')}),
   x AS (SELECT entity_id, code_edition_id, seq, pass_no, st, trim(whole) AS reference_text, {J.no_end_marks('part')} AS label, {J.normal_label(J.no_end_marks('part'))} AS normal,
     {J.trim_all(f"substr(body_text, cast({_START} + 1 AS BIGINT), cast(st - {_START} + length(whole) + {AROUND} AS BIGINT))")} AS context FROM m),
   o AS (SELECT * FROM x WHERE label <> '' AND normal <> '' QUALIFY row_number() OVER (PARTITION BY entity_id, normal ORDER BY pass_no, st) = 1),
@@ -117,6 +118,24 @@ XREF_RECORDS = rf"""WITH {_BODIES}, m AS ({_pass(0, r'§\s*([\w.()-]+)')} UNION
     SELECT *, [section_number, {J.normal_label('section_number')}, {J.bare_label('section_number')}, {J.bare_label(J.normal_label('section_number'))}] AS forms FROM bodies WHERE section_number IS NOT NULL)) GROUP BY 1, 2),
   r AS (SELECT o.*, coalesce(a.id, b.id, c.id) AS to_id FROM o LEFT JOIN t a ON a.code_edition_id = o.code_edition_id AND a.label = o.label
     LEFT JOIN t b ON b.code_edition_id = o.code_edition_id AND b.label = o.normal LEFT JOIN t c ON c.code_edition_id = o.code_edition_id AND c.label = {J.bare_label('o.normal')}),
-  n AS (SELECT *, code_edition_id || '/' || {J.slug('entity_id')} || '/xref-' || row_number() OVER (PARTITION BY code_edition_id ORDER BY seq, entity_id, pass_no, st) AS id, {J.reference_type('context')} AS kind FROM r WHERE to_id IS NOT NULL)
+  n AS (SELECT *, code_edition_id || '/' || {J.slug('entity_id')} || '/xref-' || row_number() OVER (PARTITION BY code_edition_id ORDER BY seq, entity_id, pass_no, st) AS id, {J.reference_type('context')} AS kind FROM r WHERE to_id IS NOT NULL)"""
+
+XREF_RECORDS = f"""WITH {_BODIES}, {_REFERENCES}
 SELECT id AS entity_id, entity_id AS from_section_id, to_id AS to_section_id, reference_text, context AS reference_context, kind AS reference_type, {J.link_type('kind')} AS link_type,
   {J.content_hash("'code-cross-reference'", 'id', 'entity_id', 'to_id', 'reference_text')} AS content_hash FROM n"""
+
+
+def run_report(legacy: str) -> str:
+    """The report of a migration, from the CTE of legacy rows with a number and a body."""
+    none, empty = f"coalesce({J.trim_all('section_number')}, '') = ''", f"coalesce({J.trim_all('body')}, '') = ''"
+    return f"""WITH {legacy}, bodies AS (SELECT eid AS entity_id, ed AS code_edition_id, section_number, body AS body_text, epoch_us(fetched_at) AS seq, jurisdiction_key AS owner FROM lg
+      QUALIFY row_number() OVER (PARTITION BY eid ORDER BY fetched_at, id) = 1), {_REFERENCES},
+    c AS (SELECT (SELECT count(*) FROM bodies) AS secs, (SELECT count(*) FROM lg) AS written, (SELECT count(DISTINCT code_edition_id) FROM bodies) AS eds, (SELECT count(DISTINCT owner) FROM bodies) AS corp, (SELECT count(*) FROM n) AS refs, (SELECT count(*) FROM r WHERE to_id IS NULL) AS open_)
+    SELECT secs AS sections_transformed, written - secs AS section_collisions, eds AS editions_synthesized, corp AS corpora_synthesized, refs AS cross_references_resolved, open_ AS cross_references_unresolved_skipped, secs + eds + refs AS links_emitted,
+      (SELECT count(*) FROM legacy_rows WHERE {none}) AS sections_dropped_null_section, (SELECT count(*) FROM legacy_rows WHERE NOT {none} AND {empty}) AS sections_dropped_empty_body FROM c"""
+
+
+MODEL_EDITIONS = MODEL_SECTIONS.split("SELECT id AS entity_id, number AS section_number")[0] + f""", h AS (SELECT doc, ed, label, string_agg({J.content_hash("'code-section'", 'id', 'number', 'heading', 'body', 'link')}, '' ORDER BY chap, sec) AS hashes, count(*) AS n FROM b GROUP BY 1, 2, 3)
+SELECT ed AS entity_id, label AS edition_label, '2021-01-01' AS effective_from, n AS n_sections, {J.content_hash("'code-edition'", 'ed', 'label', 'hashes')} AS content_hash FROM h"""
+
+MODEL_HOOK = f"""WITH {_MODEL} SELECT id AS entity_id, number || ': ' || length(coalesce(body_text, '')) || ' characters' AS body_text FROM m"""
