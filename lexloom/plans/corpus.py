@@ -561,11 +561,14 @@ def drift_new_editions(spark: SparkSession, d: str) -> DataFrame:
     return drift.new_amendments(*_consecutive(x), ("snapshot_no",))
 
 
+def write_index(spark: SparkSession, d: str, path: str) -> None:
+    """The searchable records, links and status rows of a data folder as a snapshot."""
+    store.write_snapshot(path, {"atoms": _atoms(spark, d), "links": _links(spark, d), "status": _status_rows(spark, d)}, "2024-01-01T00:00:00.000Z", ["tables"])
+
+
 @R.query("snapshot_round_trip", f"WITH {ATOMS} SELECT did, entity_type, seq FROM atoms")
 def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Writes a snapshot of the searchable records to shared storage and reads it back."""
     scratch = Scratch(spark, "snapshot")
-    atoms = _atoms(spark, d)
-    store.write_snapshot(scratch.root, {"atoms": atoms, "links": _links(spark, d), "status": _status_rows(spark, d)}, "2024-01-01T00:00:00.000Z", ["tables"])
+    write_index(spark, d, scratch.root)
     return store.read_snapshot(spark, scratch.root)["atoms"].select("did", "entity_type", "seq")
-
