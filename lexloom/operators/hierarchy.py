@@ -38,7 +38,8 @@ class _Climb:
         up = self.open.select("id", *self.seen).unionByName(self.done.select("id", *self.seen))
         up = up.select(F.col("id").alias("up_id"), *(F.col(c).alias(f"up_{c}") for c in self.seen))
         moving = self.open if extra is None else self.open.join(extra, F.col("id") == F.col("xid"), "left")
-        moved = moving.join(up, F.col("ptr") == F.col("up_id"), "left").select(*(change[c].alias(c) if c in change else F.col(c) for c in columns))
+        # Every pointer leads to a row, so the smaller side may be the one that is broadcast.
+        moved = moving.join(up, F.col("ptr") == F.col("up_id")).select(*(change[c].alias(c) if c in change else F.col(c) for c in columns))
         self.round += 1
         self.parts.append(self.scratch.save(moved, f"{self.name}{self.round}"))
 
@@ -64,17 +65,20 @@ def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         known.join(ids, known["parent"] == ids["pid"], "left").select("id", F.col("pid").alias("parent")), "base"
     )
 
-    first = base.select("id", "parent", F.col("parent").alias("ptr"), F.expr("bigint(if(parent is null, 0, 1))").alias("depth"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(1).cast("bigint").alias("size"))
-    up, open_, late = _Climb(first, scratch, "up", ["ptr", "depth", "root"]), None, []
+    none_ = F.lit(None).cast("string")
+    first = base.select("id", "parent", F.col("parent").alias("ptr"), F.expr("bigint(if(parent is null, 0, 1))").alias("depth"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(1).cast("bigint").alias("size"), none_.alias("late_id"), F.lit(0).cast("bigint").alias("late"))
+    up, open_ = _Climb(first, scratch, "up", ["ptr", "depth", "root"]), None
     while True:
         left = up.open.count()
         if left == 0 or left == open_:
             break
         open_ = left
         gained = up.open.groupBy(F.col("ptr").alias("xid")).agg(F.sum("size").alias("gain"))
-        # What reaches rows that are done already is added at the end.
-        late.append(scratch.save(gained.join(up.open.select(F.col("id").alias("xid")), "xid", "left_anti"), f"late{len(late)}"))
-        up.step({"ptr": F.col("up_ptr"), "depth": F.col("depth") + F.coalesce("up_depth", F.lit(0)), "root": F.col("up_root"), "size": F.col("size") + F.coalesce("gain", F.lit(0))}, gained)
+        # What reaches a row that is done already is noted, and added at the end.
+        up.step({
+            "ptr": F.col("up_ptr"), "depth": F.col("depth") + F.col("up_depth"), "root": F.col("up_root"), "size": F.col("size") + F.coalesce("gain", F.lit(0)),
+            "late_id": F.when(F.col("up_ptr").isNull(), F.col("ptr")), "late": F.col("size"),
+        }, gained)
 
     stuck = None
     if left:
@@ -90,15 +94,13 @@ def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         ring = rest.open.select(F.col("ptr").alias("cid")).distinct()
         stuck = rest.open.join(ring, F.col("id") == F.col("cid"), "left").select("id", F.expr("if(cid is null, 'below-cycle', 'cycle')").alias("state"))
 
-    settled = up.done
-    if late:
-        more = late[0]
-        for one in late[1:]:
-            more = more.unionByName(one)
-        more = more.groupBy("xid").agg(F.sum("gain").alias("gain"))
-        settled = settled.join(more, F.col("id") == F.col("xid"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("xid", "gain")
-    settled = scratch.save(settled.drop("ptr"), "settled")
-    for name in ["base", *(f"up{i}" for i in range(up.round + 1)), *(f"late{i}" for i in range(len(late)))]:
+    more = up.parts[0]
+    for part in up.parts[1:]:
+        more = more.unionByName(part)
+    more = more.where("late_id is not null").groupBy(F.col("late_id").alias("xid")).agg(F.sum("late").alias("gain"))
+    settled = up.done.join(more, F.col("id") == F.col("xid"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0)))
+    settled = scratch.save(settled.select("id", "parent", "depth", "root", "size"), "settled")
+    for name in ["base", *(f"up{i}" for i in range(up.round + 1))]:
         scratch.drop(name)
     ok = settled.withColumn("block", F.expr(f"pmod(xxhash64(id), {SIBLING_BLOCKS})"))
     kids = ok.where("parent is not null")
