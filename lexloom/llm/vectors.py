@@ -19,10 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.crowded import Crowded
 from lexloom.llm.spread import spread
 from lexloom.tables import Scratch
 
@@ -48,8 +50,11 @@ class Similar:
     #: Rows of a cell, the branch whose leaves are searched in one place: as many as give two cells
     #: for each task, within these bounds (the upper is one of memory: 16 MB of 64 numbers).
     cell_rows: tuple[int, int] = (1_600, 32_000)
-    #: Rows of a leaf compared at once; a leaf of more is split into blocks.
+    #: Rows of a leaf that are searched as a whole; a leaf of more gets a tree of its own, grown on
+    #: about this many of its rows, and copies of it for each ``route_rows`` of them.
     block: int = 4_000
+    leaf_sample: int = 8_000
+    route_rows: int = 100_000
 
 
 class Tree:
@@ -210,9 +215,17 @@ def _best(met: DataFrame, n: int, tie: str = "other") -> DataFrame:
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
-def _calibrate(filed: DataFrame, trees: dict[str, Tree], cfg: Similar) -> dict[str, int]:
+def _widened(place: np.ndarray, most: int, recall: float) -> int:
+    """Visits that reach the wanted share of the places."""
+    visits = 2
+    while visits < most and len(place) and (place < visits).mean() < recall:
+        visits += max(1, visits // 4)
+    return int(min(visits, most)) if len(place) else most
+
+
+def _calibrate(filed: DataFrame, trees: dict[str, Tree], cfg: Similar) -> tuple[dict[str, int], pd.DataFrame]:
     """Leaves to visit in each space: widened until the neighbours found by brute force for the
-    sampled queries are in visited leaves to the wanted share."""
+    sampled queries are in visited leaves to the wanted share. Also those neighbours."""
     spark = filed.sparkSession
     asked = filed.where(F.col("space").isin(list(trees))).orderBy(F.xxhash64("gid", F.lit(1)), "gid").limit(cfg.calibrate).select("space", "gid", "v").toPandas()
     queries = {s: (g["gid"].to_numpy(), np.stack(g["v"].to_numpy())) for s, g in asked.groupby("space")}
@@ -239,19 +252,16 @@ def _calibrate(filed: DataFrame, trees: dict[str, Tree], cfg: Similar) -> dict[s
     true = _best(filed.mapInArrow(scan, "space string, gid bigint, other bigint, s float, leaf int"), cfg.k).toPandas()
     out = {}
     for s, tree in trees.items():
-        visits = tree.n_leaves
+        out[s] = tree.n_leaves
         if s in queries:
             qid, q = queries[s]
             order = {g: {leaf: i for i, leaf in enumerate(o)} for g, o in zip(qid, tree.walk(q, tree.n_leaves, cfg))}
             mine = true[true["space"] == s]
             place = np.array([order[g].get(leaf, tree.n_leaves) for g, leaf in zip(mine["gid"], mine["leaf"])])
-            visits = 2
-            while visits < tree.n_leaves and len(place) and (place < visits).mean() < cfg.recall:
-                visits += max(1, visits // 4)
-            if not len(place):
-                visits = tree.n_leaves
-        out[s] = int(min(visits, tree.n_leaves))
-    return out
+            out[s] = _widened(place, tree.n_leaves, cfg.recall)
+    vectors = {(s, g): v for s, (qid, q) in queries.items() for g, v in zip(qid, q)}
+    true["v"] = [vectors[k].tolist() for k in zip(true["space"], true["gid"])]
+    return out, true
 
 
 def _grow(base: DataFrame, cfg: Similar, total: int) -> dict[str, Tree]:
@@ -275,8 +285,9 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     id. Ids must be unique. An empty input gives an empty table.
 
     Rows of one direction form a group that is filed and searched once: of a group only the k + 1
-    smallest ids can be among any row's first k. Groups meet in leaves, in blocks of bounded size,
-    so a crowded leaf is spread over tasks. Candidates are compared in double precision and ranked by
+    smallest ids can be among any row's first k. Groups meet in leaves. A leaf that outgrows
+    ``block`` rows gets a tree of its own, so that leaves follow the rows (``crowded``); a crowded
+    leaf of such a tree is searched in blocks, spread over tasks. Candidates are compared in double precision and ranked by
     similarity to 12 digits, then the smallest id of the group: the k first groups hold the k first
     rows.
     """
@@ -321,15 +332,24 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
     for s, tree in trees.items():
         mine = sizes[sizes["space"] == s]
         tree.fill(mine["leaf"].to_numpy(), mine["n"].to_numpy(), mine[[f"c{i}" for i in range(deep)]].to_numpy())
-    visits = _calibrate(filed, trees, cfg)
-
-    # Where each leaf is searched: its cell, or blocks of its own if it is crowded.
+    visits, true = _calibrate(filed, trees, cfg)
+    crowds = {(s, leaf): int(n) for s, t in trees.items() for leaf, n in enumerate(t.rows[t.leaf_node]) if n > cfg.block}
+    crowd, below = None, {}
+    if crowds:
+        crowd = Crowded(filed, crowds, lambda x, leaves: Tree(x, min(cfg.most_leaves, leaves), cfg.branch), scratch, cfg)
+        found = true[[k in crowds for k in zip(true["space"], true["leaf"])]][["space", "leaf", "gid", "v", "other"]]
+        placed = crowd.places(spark.createDataFrame(found, "space string, leaf int, gid bigint, v array<double>, other bigint"))
+        for s in {k[0] for k in crowds}:
+            mine = placed[placed["space"] == s]
+            below[s] = _widened(mine["place"].to_numpy(), int(mine["leaves"].max()) if len(mine) else cfg.most_leaves, cfg.recall)
+
+    # The cell in which each leaf is searched; 0 stands for the trees of crowded leaves.
     places, n_tasks = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell_rows = min(cfg.cell_rows[1], max(cfg.cell_rows[0], total // (2 * n_tasks)))
     for s, tree in trees.items():
         for leaf, cell in enumerate(tree.cells(cell_rows)):
-            places.append((s, leaf, int(cell), max(1, -(-int(tree.rows[tree.leaf_node[leaf]]) // cfg.block))))
-    plan = spark.sparkContext.broadcast((trees, visits, {(s, leaf): (cell, n) for s, leaf, cell, n in places}))
+            places.append((s, leaf, int(cell), (s, leaf) in crowds))
+    plan = spark.sparkContext.broadcast((trees, visits, {(s, leaf): (cell, more) for s, leaf, cell, more in places}))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every query once for each cell that it visits, with its leaves there."""
@@ -345,24 +365,31 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                     for i, visited in zip(at, found):
                         here: dict[tuple[int, int], list[int]] = defaultdict(list)
                         for leaf in visited:
-                            c, n = place.get((s, leaf), (0, 1))
-                            for j in range(n):
-                                here[c, j].append(leaf)
+                            c, more = place.get((s, leaf), (0, False))
+                            here[c, leaf if more else -1].append(leaf)
                         for (c, j), one in here.items():
                             src.append(i), cell.append(c), block.append(j), leaves.append(one)
                 take = b.take(pa.array(src, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [take.column(0), take.column(1), take.column(2), pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                    [take.column(0), take.column(1), take.column(2), pa.array(cell, pa.int64()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
                     names=["space", "gid", "v", "cell", "block", "leaves"],
                 )
 
-    asked = filed.select("space", "gid", "v").mapInArrow(ask, "space string, gid bigint, v array<double>, cell int, block int, leaves array<int>")
-    where = F.broadcast(spark.createDataFrame(places, "bs string, bl int, cell int, blocks int"))
-    stored = filed.join(where, (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left").select(
-        "space", "gid", "v", F.coalesce("cell", F.lit(0)).alias("cell"), F.expr("int(pmod(xxhash64(gid), coalesce(blocks, 1)))").alias("block"), F.array("leaf").alias("leaves"), F.lit(False).alias("query"), "first"
+    form = "space string, gid bigint, v array<double>, cell bigint, block int, leaves array<int>"
+    asked = filed.select("space", "gid", "v").mapInArrow(ask, form)
+    where = F.broadcast(spark.createDataFrame(places, "bs string, bl int, cell bigint, more boolean"))
+    stored = filed.join(where, (F.col("space") == F.col("bs")) & (F.col("leaf") == F.col("bl")), "left").where("not coalesce(more, false)").select(
+        "space", "gid", "v", F.coalesce("cell", F.lit(0)).alias("cell"), F.lit(-1).alias("block"), F.array("leaf").alias("leaves"), "first"
     )
+    if crowd is not None:
+        # Queries that visit a crowded leaf go on to its tree.
+        asked = scratch.save(asked, "asked")
+        further = asked.where("block >= 0").select("space", F.col("block").alias("leaf"), "gid", "v")
+        asked = asked.where("block < 0").unionByName(crowd.ask(further, below, cell_rows, form))
+        stored = stored.unionByName(crowd.rows(cell_rows))
+    stored = stored.withColumn("query", F.lit(False))
     tasks = max(n_tasks, total * max([1, *visits.values()]) // 400_000)
-    both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored)
+    both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored.select("space", "gid", "v", "cell", "block", "leaves", "query", "first"))
     keep = cfg.k
 
     def best(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

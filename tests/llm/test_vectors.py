@@ -98,3 +98,18 @@ def test_walk_opens_only_near_branches():
     best = np.arccos(np.clip((q @ tree.leaf_centre.T).max(1), -1, 1))
     assert np.mean(angles <= best + 0.2) > 0.9
     assert set(tree.cells(100)) <= set(range(len(plain))) and all(tree.rows[c] <= 100 or c in tree.leaf_node for c in tree.cells(100))
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.8])
+def test_crowded_leaves_get_trees(spark, least):
+    """Four leaves for 2,000 rows, so that nearly all is found in trees of the second level, some of
+    whose leaves are split into blocks."""
+    cfg = Similar(k=5, least=least, dims=16, leaf_rows=20, branch=4, recall=0.98, sample=400, most_leaves=4, block=60, leaf_sample=200, route_rows=150, cell_rows=(50, 50))
+    x = clustered(2000, seed=9)
+    x[1500:] = x[0] + 0.02 * np.random.default_rng(1).normal(size=(500, 16))
+    ids = [f"v{i:04}" for i in range(len(x))]
+    got, want = run(spark, [(i, "m", v.tolist()) for i, v in zip(ids, x)], cfg), brute(ids, x, cfg)
+    hit = sum(len(set(got.get(i, ())) & set(w)) for i, w in want.items())
+    assert hit >= 0.93 * sum(map(len, want.values()))
+    exact = sum(got.get(i) == w for i, w in want.items())
+    assert exact >= 0.8 * len(want)
