@@ -47,9 +47,9 @@ class Similar:
     calibrate: int = 256
     #: Share of the spread of a branch's leaves by which it is taken to be nearer than its centre.
     boundary: float = 0.4
-    #: Rows of a cell, the branch whose leaves are searched in one place: as many as give two cells
-    #: for each task, within these bounds (the upper is one of memory: 16 MB of 64 numbers).
-    cell_rows: tuple[int, int] = (1_600, 32_000)
+    #: Rows of a cell, the branch whose leaves are searched in one place (16 MB of 64 numbers). Its
+    #: queries are spread over several tasks, each with a copy of the cell, where cells are few.
+    cell_rows: int = 32_000
     #: Rows of a leaf that are searched as a whole; a leaf of more gets a tree of its own, grown on
     #: about this many of its rows, and copies of it for each ``route_rows`` of them.
     block: int = 4_000
@@ -215,6 +215,15 @@ def _best(met: DataFrame, n: int, tie: str = "other") -> DataFrame:
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
+def _first(r: np.ndarray, c: np.ndarray, v: np.ndarray, tie: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row ``r`` the ``keep`` entries of largest ``v``, equal ones by ``tie``."""
+    order = np.lexsort((tie, -v, r))
+    r, c, v = r[order], c[order], v[order]
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+    return r[rank < keep], c[rank < keep], v[rank < keep]
+
+
 def _widened(place: np.ndarray, most: int, recall: float) -> int:
     """Visits that reach the wanted share of the places."""
     visits = 2
@@ -345,7 +354,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
 
     # The cell in which each leaf is searched; 0 stands for the trees of crowded leaves.
     places, n_tasks = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cell_rows = min(cfg.cell_rows[1], max(cfg.cell_rows[0], total // (2 * n_tasks)))
+    cell_rows = cfg.cell_rows
     for s, tree in trees.items():
         for leaf, cell in enumerate(tree.cells(cell_rows)):
             places.append((s, leaf, int(cell), (s, leaf) in crowds))
@@ -387,7 +396,9 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
         further = asked.where("block >= 0").select("space", F.col("block").alias("leaf"), "gid", "v")
         asked = asked.where("block < 0").unionByName(crowd.ask(further, below, cell_rows, form))
         stored = stored.unionByName(crowd.rows(cell_rows))
-    stored = stored.withColumn("query", F.lit(False))
+    copies = max(1, -(-2 * n_tasks * cell_rows // max(cell_rows, total)))
+    asked = asked.withColumn("block", F.expr(f"int(block * {copies} + pmod(xxhash64(gid, 5), {copies}))"))
+    stored = stored.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("block", F.expr(f"int(block * {copies} + copy)")).drop("copy").withColumn("query", F.lit(False))
     tasks = max(n_tasks, total * max([1, *visits.values()]) // 400_000)
     both = asked.withColumn("query", F.lit(True)).withColumn("first", F.lit(None).cast("string")).unionByName(stored.select("space", "gid", "v", "cell", "block", "leaves", "query", "first"))
     keep = cfg.k
@@ -398,12 +409,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
         if len(r) > 20 * keep * len(sims):
             least = np.partition(sims, -min(keep, sims.shape[1]), axis=1)[:, -min(keep, sims.shape[1]), None]
             r, c = np.nonzero((sims >= least - 2e-12) & (sims >= max(cfg.least - 1e-5, -1.5)))
-        v = np.round(sims[r, c], 12)
-        order = np.lexsort((c, -v, r))
-        r, c, v = r[order], c[order], v[order]
-        first_ = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-        rank = np.arange(len(r)) - np.repeat(first_, np.diff(np.r_[first_, len(r)]))
-        return r[rank < keep], c[rank < keep], v[rank < keep]
+        return _first(r, c, np.round(sims[r, c], 12), c, keep)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by cell and block, stored rows first."""
@@ -426,27 +432,41 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
                 if lo + n == hi or not held:
                     continue
                 if ready is None:
-                    # Sorted by smallest id, so that of equal similarities the first are kept.
-                    first = np.concatenate([h[3] for h in held])
-                    order = np.array(sorted(range(len(first)), key=first.__getitem__))
-                    of, slot = np.unique(np.concatenate([h[2] for h in held])[order], return_inverse=True)
-                    ready = np.concatenate([h[0] for h in held])[order], np.concatenate([h[1] for h in held])[order], of, slot, first[order]
-                ids, vecs, of, slot, first = ready
-                for at in range(lo + n, hi, 256):
-                    end = min(at + 256, hi)
-                    asked_, sizes_ = leaves.slice(at, end - at), np.array([len(v) for v in leaves.slice(at, end - at).to_pylist()])
+                    # By leaf and smallest id, so that of equal similarities the first are kept.
+                    first, leaf = np.concatenate([h[3] for h in held]), np.concatenate([h[2] for h in held])
+                    by_id = np.array(sorted(range(len(first)), key=first.__getitem__))
+                    rank = np.empty(len(first), np.int64)
+                    rank[by_id] = np.arange(len(first))
+                    order = np.lexsort((rank, leaf))
+                    of, begin = np.unique(leaf[order], return_index=True)
+                    ready = np.concatenate([h[0] for h in held])[order], np.concatenate([h[1] for h in held])[order], of, np.r_[begin, len(order)], first[order], rank[order]
+                ids, vecs, of, begin, first, rank = ready
+                for at in range(lo + n, hi, 2048):
+                    end = min(at + 2048, hi)
+                    asked_ = leaves.slice(at, end - at)
                     flat = asked_.flatten().to_numpy()
-                    place = np.minimum(np.searchsorted(of, flat), len(of) - 1)
-                    open_ = np.zeros((end - at, len(of)), bool)
-                    open_[np.repeat(np.arange(end - at), sizes_)[of[place] == flat], place[of[place] == flat]] = True
-                    some = np.flatnonzero(open_.any(0)[slot])
-                    sims = np.where(open_[:, slot[some]], x[at:end] @ vecs[some].T, -2.0)
-                    sims[gid[at:end][:, None] == ids[some][None, :]] = -2.0
-                    r, c, v = best(sims)
+                    who = np.repeat(np.arange(at, end), np.diff(asked_.offsets.to_numpy()))
+                    slot = np.minimum(np.searchsorted(of, flat), len(of) - 1)
+                    who, slot = who[of[slot] == flat], slot[of[slot] == flat]
+                    turn = np.argsort(slot, kind="stable")
+                    who, slot = who[turn], slot[turn]
+                    rows_, cols, values = [], [], []
+                    for a in np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else ():
+                        lo_, hi_ = begin[slot[a]], begin[slot[a] + 1]
+                        z = np.searchsorted(slot, slot[a], "right")
+                        for cut in range(a, z, 256):
+                            q = who[cut : min(cut + 256, z)]
+                            sims = x[q] @ vecs[lo_:hi_].T
+                            sims[gid[q][:, None] == ids[lo_:hi_][None, :]] = -2.0
+                            r, c, v = best(sims)
+                            rows_.append(q[r]), cols.append(lo_ + c), values.append(v)
+                    if not rows_:
+                        continue
+                    r, c, v = (np.concatenate(part) for part in (rows_, cols, values))
+                    r, c, v = _first(r, c, v, rank[c], keep)
                     if len(r):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([key[0]] * len(r), pa.string()), pa.array(gid[at:end][r]), pa.array(ids[some[c]]), pa.array(v), pa.array(first[some[c]], pa.string())],
-                            names=["space", "gid", "other", "s", "first"],
+                            [pa.array([key[0]] * len(r), pa.string()), pa.array(gid[r]), pa.array(ids[c]), pa.array(v), pa.array(first[c], pa.string())], names=["space", "gid", "other", "s", "first"],
                         )
 
     met = both.repartition(tasks, "space", "cell", "block").sortWithinPartitions("space", "cell", "block", "query").mapInArrow(compare, "space string, gid bigint, other bigint, s double, first string")

@@ -104,7 +104,7 @@ def test_walk_opens_only_near_branches():
 def test_crowded_leaves_get_trees(spark, least):
     """Four leaves for 2,000 rows, so that nearly all is found in trees of the second level, some of
     whose leaves are split into blocks."""
-    cfg = Similar(k=5, least=least, dims=16, leaf_rows=20, branch=4, recall=0.98, sample=400, most_leaves=4, block=60, leaf_sample=200, route_rows=150, cell_rows=(50, 50))
+    cfg = Similar(k=5, least=least, dims=16, leaf_rows=20, branch=4, recall=0.98, sample=400, most_leaves=4, block=60, leaf_sample=200, route_rows=150, cell_rows=50)
     x = clustered(2000, seed=9)
     x[1500:] = x[0] + 0.02 * np.random.default_rng(1).normal(size=(500, 16))
     ids = [f"v{i:04}" for i in range(len(x))]
