@@ -396,7 +396,7 @@ def most_similar(rows: DataFrame, scratch: Scratch, cfg: Similar = Similar()) ->
         further = asked.where("block >= 0").select("space", F.col("block").alias("leaf"), "gid", "v")
         asked = asked.where("block < 0").unionByName(crowd.ask(further, below, cell_rows, form))
         stored = stored.unionByName(crowd.rows(cell_rows))
-    copies = max(1, -(-2 * n_tasks * cell_rows // max(cell_rows, total)))
+    copies = max(1, -(-n_tasks * cell_rows // max(cell_rows, total)))
     asked = asked.withColumn("block", F.expr(f"int(block * {copies} + pmod(xxhash64(gid, 5), {copies}))"))
     stored = stored.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("block", F.expr(f"int(block * {copies} + copy)")).drop("copy").withColumn("query", F.lit(False))
     tasks = max(n_tasks, total * max([1, *visits.values()]) // 400_000)
