@@ -41,7 +41,8 @@ class _Climb:
         # Every pointer leads to a row, so the smaller side may be the one that is broadcast.
         moved = moving.join(up, F.col("ptr") == F.col("up_id")).select(*(change[c].alias(c) if c in change else F.col(c) for c in columns))
         self.round += 1
-        self.parts.append(self.scratch.save(moved, f"{self.name}{self.round}"))
+        # Where nothing was shuffled the rows left open lie in as many files as the rows looked up.
+        self.parts.append(self.scratch.save(moved.hint("rebalance"), f"{self.name}{self.round}"))
 
 
 def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
