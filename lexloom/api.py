@@ -42,9 +42,9 @@ class Engine:
             raise ValueError(f"limit must be 1 to {search.MOST}")
         return search.search(self.atoms, q, tenant, kind, limit)
 
-    def retrieve(self, q: str = "", tenant: str | None = None, kind: str | None = None, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
+    def retrieve(self, q: str = "", tenant: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
         """The results of ``search`` with ``total_candidates``."""
-        return search.with_total(self.search(q, tenant, kind, limit))
+        return search.with_total(self.search(q, tenant, kind, search.clamp(limit)))
 
     def atom(self, did: str) -> DataFrame:
         """The record and its outgoing links; no rows when there is none."""

@@ -536,8 +536,8 @@ def _errors_sql(kind: str, more: str = "") -> str:
     return f"array_to_string(list_filter([{empty}{more}], lambda x: x IS NOT NULL), '; ') AS errors"
 
 
-def _errors(spark: SparkSession, d: str, name: str, kind: str, key: str) -> DataFrame:
-    return validate.validate(table(spark, d, name), validate.rules_for(kind)).select(key, F.array_join("errors", "; ").alias("errors")).distinct()
+def _errors(spark: SparkSession, d: str, name: str, kind: str, key: str, **more) -> DataFrame:
+    return validate.validate(table(spark, d, name), validate.rules_for(kind) | {f"{c} is empty": rule for c, rule in more.items()}).select(key, F.array_join("errors", "; ").alias("errors")).distinct()
 
 
 _NO_ADDRESS = "CASE WHEN {c} IS NOT NULL AND NOT regexp_matches({c}, '^https?://[^\\s/]+') THEN '{n} is no address' END"
@@ -550,7 +550,7 @@ _NO_ADDRESS = "CASE WHEN {c} IS NOT NULL AND NOT regexp_matches({c}, '^https?://
     + " FROM code_sections",
 )
 def validate_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _errors(spark, d, "code_sections", "code-section", "entity_id")
+    return _errors(spark, d, "code_sections", "code-section", "entity_id", body_text=validate.filled("body_text"))
 
 
 @R.query("validate_editions", "SELECT DISTINCT entity_id, " + _errors_sql("code-edition") + " FROM code_editions")
