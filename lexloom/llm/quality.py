@@ -267,8 +267,10 @@ def text_statistics(docs: DataFrame, cfg: Quality = Quality()) -> DataFrame:
     texts = docs.where("text is not null").groupBy("text").agg(F.min(lang).alias("lang"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     held = texts.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(tokens).alias("w")).where("w rlike '[^0-9]'").groupBy("lang", "w").agg(F.count("*").alias("n"))
-    sizes = {r["lang"]: r["n"] for r in texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(math.ceil(1 / cfg.language)).collect()}
-    n_texts = texts.count()
+    # The rollup has the number of all texts under a null language.
+    counted = texts.rollup(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(math.ceil(1 / cfg.language) + 1).collect()}
+    n_texts = sizes.pop(None, 0)
     least = 1 if n_texts < cfg.few else max(2, cfg.least_share * n_texts)
     own = [(k, max(5.0, cfg.language_share * n)) for k, n in sizes.items() if k and n >= cfg.language * n_texts]
     held = held.join(F.broadcast(spark.createDataFrame(own, "lang string, own double")), "lang", "left")
