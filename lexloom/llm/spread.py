@@ -32,3 +32,16 @@ def partitions(spark: SparkSession, n: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside are removed when the query ends, not when the driver
+    happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -62,6 +62,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """The table ``name``, new or standing, with the rows of ``df`` added."""
+        path = f"{self.root}/{name}"
+        _LEFT[path] = self.spark
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, name: str) -> None:
         path = f"{self.root}/{name}"
         _delete(self.spark, path)
