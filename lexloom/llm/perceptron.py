@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
@@ -21,7 +22,7 @@ class Perceptron:
         """Passes over the data in the given order; the weights are averaged over all steps."""
         total: dict[tuple[str, str], float] = defaultdict(float)
         stamp: dict[tuple[str, str], int] = {}
-        step = 0
+        step, rank = 0, {label: k for k, label in enumerate(labels)}
 
         def change(f: str, label: str, by: float) -> None:
             w = self.weights.setdefault(f, {})
@@ -34,7 +35,11 @@ class Perceptron:
             for feats, label in data:
                 step += 1
                 s = self.scores(feats)
-                said = max(labels, key=lambda x: s.get(x, 0.0))
+                # The first of the best labels. One without a score counts as 0; only the first such is looked for.
+                low, at = min(((-v, rank[x]) for x, v in s.items()), default=(math.inf, 0))
+                if low >= 0 and (k := next((k for k, x in enumerate(labels) if x not in s), None)) is not None:
+                    low, at = min((low, at), (0.0, k))
+                said = labels[at]
                 if said != label:
                     for f in feats:
                         change(f, label, 1.0)

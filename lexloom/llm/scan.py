@@ -16,6 +16,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ CONFUSIONS = (
 HYPHENS = "-‐‑¬­"
 #: Letters of the longest word.
 LONGEST = 64
+#: Examples that the editor sees of a confusion at least.
+RARE = 3
 #: Stands for a hyphen at a line's end in the words that the editor reads.
 BREAK = "\n"
 
@@ -51,8 +54,6 @@ class Scan:
     #: Scanned sections, and words of the clean vocabulary, on which the perceptrons are trained.
     page_sample: int = 3_000
     word_sample: int = 3_000
-    #: The most frequent learned confusions with which those words are misread for training.
-    confusion_sample: int = 400
     #: Words held out of the editor's training, and the share of their misread characters whose right
     #: operation the editor must still offer: this sets how far below "keep" an operation may score.
     held_out: int = 300
@@ -239,13 +240,27 @@ def _ops(wrong: str, right: str) -> list[str]:
     return out
 
 
-def _misread(w: str, confusions: dict[tuple[str, str], float], rng: random.Random, most: int) -> Iterator[tuple[str, int, list[str]]]:
-    """Misread forms of a word, each with the place and the operations that set it right; frequent
-    confusions come more often."""
-    fits = [(a, b, i) for a, b in confusions for i in range(len(w)) if w.startswith(b, i)]
+class Runs:
+    """Confusions by their run as read, or as it should be, so that their number costs no time."""
+
+    def __init__(self, confusions: Iterable[tuple[str, str]], right: bool = False):
+        self.at: dict[str, list[tuple[int, str, str]]] = {}
+        for k, (a, b) in enumerate(confusions):
+            self.at.setdefault(b if right else a, []).append((k, a, b))
+        self.sizes = sorted({len(run) for run in self.at})
+
+    def of(self, w: str) -> list[tuple[int, int, str, str]]:
+        """Those that fit somewhere in a word: number, place, run as read, run as it should be."""
+        return sorted((k, i, a, b) for i in range(len(w)) for n in self.sizes if i + n <= len(w) for k, a, b in self.at.get(w[i : i + n], ()))
+
+
+def _misread(w: str, confusions: dict[tuple[str, str], float], runs: Runs, rng: random.Random, most: int) -> Iterator[tuple[str, int, list[str], tuple[str, str]]]:
+    """Misread forms of a word, each with the place, the operations that set it right and the
+    confusion; frequent ones come more often. ``runs`` has the confusions by the right reading."""
+    fits = [(a, b, i) for _, i, a, b in runs.of(w)]
     fits.sort(key=lambda t: -(rng.random() ** (1 / confusions[t[:2]])))
     for a, b, i in fits[:most]:
-        yield w[:i] + a + w[i + len(b) :], i, _ops(a, b)
+        yield w[:i] + a + w[i + len(b) :], i, _ops(a, b), (a, b)
 
 
 def _split(w: str, rng: random.Random) -> tuple[str, int, list[str]] | None:
@@ -260,17 +275,28 @@ def _split(w: str, rng: random.Random) -> tuple[str, int, list[str]] | None:
     return f"{w[:i]}{BREAK}{w[i:]}", i, ["J"]
 
 
-def train_editor(words: list[str], confusions: dict[tuple[str, str], float], seed: int) -> Perceptron:
-    rng, data = random.Random(seed), []
+def train_editor(words: list[str], confusions: dict[tuple[str, str], float], seed: int, more: Iterable[str] = ()) -> Perceptron:
+    """From words as they are, misread and broken. Frequent confusions come more often, but each comes
+    ``RARE`` times, if need be in words of ``more``, or as often as it fits: an operation that is in no
+    example would never be offered."""
+    rng, data, runs, drawn = random.Random(seed), [], Runs(confusions, right=True), Counter()
+    example = lambda x, i, ops: [(char_features(x, j), ops[j - i] if 0 <= j - i < len(ops) else "K") for j in range(len(x))]
     for w in words:
         data.append([(char_features(w, i), "K") for i in range(len(w))])
-        for x, i, ops in _misread(w, confusions, rng, 5):
-            data.append([(char_features(x, j), ops[j - i] if 0 <= j - i < len(ops) else "K") for j in range(len(x))])
+        for x, i, ops, pair in _misread(w, confusions, runs, rng, 5):
+            data.append(example(x, i, ops))
+            drawn[pair] += 1
         for _ in range(2):
             if broken := _split(w, rng):
                 x, i, ops = broken
                 x = x[:i] + BREAK + x[i + 1 :]
                 data.append([(char_features(x, i), ops[0])])
+    if any(drawn[pair] < RARE for pair in confusions):
+        for w in [*words, *more]:
+            for _, i, a, b in runs.of(w):
+                if drawn[a, b] < RARE:
+                    data.append(example(w[:i] + a + w[i + len(b) :], i, _ops(a, b)))
+                    drawn[a, b] += 1
     rng.shuffle(data)
     flat = [one for word in data for one in word]
     return Perceptron().train(flat, 3, sorted({label for _, label in flat}))
@@ -279,9 +305,9 @@ def train_editor(words: list[str], confusions: dict[tuple[str, str], float], see
 def calibrate(words: list[str], model: Perceptron, confusions: dict[tuple[str, str], float], share: float, seed: int) -> float:
     """How far below "keep" an operation may score: held-out words are misread, and of the operations
     that set them right ``share`` must be offered."""
-    rng, short = random.Random(seed + 1), []
+    rng, short, runs = random.Random(seed + 1), [], Runs(confusions, right=True)
     for w in words:
-        for x, i, ops in _misread(w, confusions, rng, 5):
+        for x, i, ops, _ in _misread(w, confusions, runs, rng, 5):
             for j, o in enumerate(ops):
                 s = model.scores(char_features(x, i + j))
                 short.append(s.get("K", 0.0) - s.get(o, 0.0))
@@ -314,18 +340,15 @@ def beginnings(vocabulary: DataFrame, bits: int) -> Beginnings:
     return Beginnings({r["page"]: bytes(r["b"]) for r in held.collect()}, bits)
 
 
-def _offers(w: str, model: Perceptron, slack: float, confusions: Iterable[tuple[str, str]]) -> list[list[tuple[int, str, int, float]]]:
+def _offers(w: str, model: Perceptron, slack: float, confusions: Runs) -> list[list[tuple[int, str, int, float]]]:
     """For each place of a word what the editor offers there: characters read, text written, places
     changed, and the score above keeping them."""
     s = [model.scores(char_features(w, i)) for i in range(len(w))]
     out: list[list[tuple[int, str, int, float]]] = [[(1, c, 0, 0.0)] if c != BREAK else [] for c in w]
-    for a, b in confusions:
-        i = w.find(a)
-        while i >= 0:
-            gains = [s[i + j].get(o, 0.0) - s[i + j].get("K", 0.0) if o in s[i + j] else -math.inf for j, o in enumerate(_ops(a, b))]
-            if min(gains) >= -slack:
-                out[i].append((len(a), b, 1, sum(gains)))
-            i = w.find(a, i + 1)
+    for _, i, a, b in confusions.of(w):
+        gains = [s[i + j].get(o, 0.0) - s[i + j].get("K", 0.0) if o in s[i + j] else -math.inf for j, o in enumerate(_ops(a, b))]
+        if min(gains) >= -slack:
+            out[i].append((len(a), b, 1, sum(gains)))
     for i, c in enumerate(w):
         best = max(s[i].get("J", 0.0), s[i].get("H", 0.0)) if c == BREAK else 0.0
         if c == BREAK and best > s[i].get("K", 0.0):
@@ -333,13 +356,13 @@ def _offers(w: str, model: Perceptron, slack: float, confusions: Iterable[tuple[
     return out
 
 
-def spellings(w: str, model: Perceptron, slack: float, known: Beginnings, confusions: Iterable[tuple[str, str]]) -> dict[str, tuple[int, float]]:
+def spellings(w: str, model: Perceptron, slack: float, known: Beginnings, confusions: Runs | Iterable[tuple[str, str]]) -> dict[str, tuple[int, float]]:
     """Spellings that the editor's operations give, each with the number of changed places and the
     score above keeping the word as it is: every sequence of operations it was trained on that score
     no more than ``slack`` below "keep" and go along beginnings of known words. At a break ``J`` and
     ``H`` are the operations, and the better of them is the measure; where neither exceeds "keep" the
     line end breaks no word."""
-    offers, out = _offers(w, model, slack, confusions), {}
+    offers, out = _offers(w, model, slack, confusions if isinstance(confusions, Runs) else Runs(confusions)), {}
     open_ = [(0, 0, "", 0, 0.0)]
     while open_:
         i, crc, done, n, score = open_.pop()
@@ -365,20 +388,21 @@ def _explode_wildcards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["k", "run", "w"])
 
 
-def learn_confusions(unknown: DataFrame, vocabulary: DataFrame, most: int) -> dict[tuple[str, str], float]:
+def learn_confusions(unknown: DataFrame, vocabulary: DataFrame) -> tuple[dict[tuple[str, str], float], list[str]]:
     """Runs of one or two characters in which an unknown word differs from exactly one known one,
-    each with its right reading and how often it was seen: the ``most`` frequent, on which the editor
-    is trained. Swapped neighbours are slips of the pen, not of the eye."""
+    each with its right reading and how often it was seen, and known words in which they were seen.
+    All that were seen twice: their number is bounded by the characters in use, not by the rows.
+    Swapped neighbours are slips of the pen, not of the eye."""
     wild = "k string, run string, w string"
     a = unknown.select("w").mapInPandas(_explode_wildcards, wild)
     b = vocabulary.select("w").mapInPandas(_explode_wildcards, wild).select("k", F.col("run").alias("right"), F.col("w").alias("v"))
     pairs = a.join(b, "k").where(
         "run != right and left(run, 1) != left(right, 1) and right(run, 1) != right(right, 1) and run != reverse(right) and length(w) >= 5 and (length(run) = 1 or length(right) = 1)"
     ).distinct()
-    one = pairs.groupBy("w").agg(F.count_distinct("v").alias("n"), F.first(F.struct("run", "right")).alias("p")).where("n = 1")
-    found = one.groupBy("p.run", "p.right").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "run", "right").limit(most).collect()
+    one = pairs.groupBy("w").agg(F.count_distinct("v").alias("n"), F.first(F.struct("run", "right")).alias("p"), F.min("v").alias("v")).where("n = 1")
+    found = one.groupBy("p.run", "p.right").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n >= 2").orderBy(F.desc("n"), "run", "right").collect()
     out = {pair: 2.0 for pair in CONFUSIONS}
-    return out | {(r[0], r[1]): out.get((r[0], r[1]), 0.0) + r[2] for r in found}
+    return out | {(r[0], r[1]): out.get((r[0], r[1]), 0.0) + r[2] for r in found}, [r[3] for r in found]
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -453,12 +477,12 @@ def read_pages(pages: DataFrame, clean: DataFrame, scratch: Scratch, cfg: Scan =
     plain = parts.select("id", F.explode("words").alias("w")).where(f"w rlike '[^0-9]' and length(w) between 2 and {LONGEST}")
     broken = parts.select("id", F.explode("breaks").alias("e")).select("id", "e.line", "e.a", "e.b", F.concat_ws(BREAK, "e.a", "e.b").alias("w")).where(f"length(w) <= {LONGEST}")
     unknown = scratch.save(plain.select("w").distinct().join(vocabulary, "w", "left_anti"), "unknown")
-    confusions = learn_confusions(unknown, good, cfg.confusion_sample)
+    confusions, seen_in = learn_confusions(unknown, good)
     known = good.where("length(w) > 2").orderBy(F.desc("n"), "w").limit(cfg.word_sample + cfg.held_out).collect()
     order = sorted((r[0] for r in known), key=lambda w: zlib.crc32(w.encode()))
     held = order[: min(cfg.held_out, len(order) // 4)]
-    model = train_editor(order[len(held) :], confusions, cfg.seed)
-    editor = spark.sparkContext.broadcast((model, calibrate(held, model, confusions, cfg.offered, cfg.seed), beginnings(vocabulary, cfg.beginnings), list(confusions)))
+    model = train_editor(order[len(held) :], confusions, cfg.seed, seen_in)
+    editor = spark.sparkContext.broadcast((model, calibrate(held, model, confusions, cfg.offered, cfg.seed), beginnings(vocabulary, cfg.beginnings), Runs(confusions)))
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

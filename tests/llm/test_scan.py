@@ -133,3 +133,27 @@ def test_very_long_words_and_pages(spark):
     body = "z" * 50_000 + "\n" + "l" * 30 + "-\n" + "i" * 60 + "\n" + "word " * 30_000
     repairs, saved = read_pages(spark.createDataFrame([("a", body, "o", "e")], PAGE), spark.createDataFrame([("word " * 9,)], "body string"), Scratch(spark, "t"))
     assert repairs.count() == 0 and len(repaired_text(saved, repairs).first().text) > 200_000
+
+
+def test_all_learned_confusions_are_offered(spark):
+    """Far more confusions than any sample: each is learned, trained and offered."""
+    rng, abc = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
+    letters = lambda: "".join(rng.choice(abc) for _ in range(9))
+    right, wrong = [], []
+    for a in abc:
+        for b in abc.replace(a, ""):
+            for _ in range(2):
+                x, y = letters(), letters()
+                right.append(f"{x}{b}{y}")
+                wrong.append(f"{x}{a}{y}")
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "w string")
+    learned, seen_in = scan.learn_confusions(frame(wrong), frame(right))
+    assert {(a, b) for a in abc for b in abc if a != b} <= set(learned) and set(seen_in) <= set(right)
+
+
+def test_rare_confusions_are_trained():
+    """Frequent confusions take all places of the examples; a rare one is offered all the same."""
+    often, rare = {pair: 1e9 for pair in CONFUSIONS}, {("w", "v"): 2.0}
+    words = [w for w in WORDS if "v" not in w]
+    model, known = train_editor(words, often | rare, 1, ["approval"]), beginnings_of([*words, "approval"])
+    assert "approval" in spellings("approwal", model, 0.0, known, often | rare)
